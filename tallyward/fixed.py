@@ -11,7 +11,7 @@ WRITE_WORDS = [
 
 # Patterns over query text (case-insensitive).
 TABLE_PATTERN = r"(?i)(?:FROM|JOIN)\s+([a-z_][a-z0-9_.]*)"
-SELECT_LIST_PATTERN = r"(?is)SELECT\s+(.*?)(?:\bFROM\b)"
+SELECT_LIST_PATTERN = r"(?is)SELECT\s+(.*?)(?<![A-Za-z0-9_])FROM(?![A-Za-z0-9_])"
 LIMIT_PATTERN = r"(?i)LIMIT\s+(\d+)"
 JOIN_PATTERN = r"(?i)JOIN\s+\S+\s+\S*\s*ON\s+(\S+)\s*=\s*(\S+)"
 SELECT_STAR_PATTERN = r"select\s+\*"

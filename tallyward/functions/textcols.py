@@ -58,29 +58,24 @@ def sql_read_only(text: Column, strict: bool = False) -> Column:
     By default a word counts anywhere in the text, so ``created_at`` trips
     CREATE; ``strict`` asks for whole words.
     """
-    words = "|".join(fixed.WRITE_WORDS)
-    pattern = rf"(?i)\b(?:{words})\b" if strict else rf"(?i)(?:{words})"
-    return ~text.rlike(pattern)
+    pattern = word_pattern(fixed.WRITE_WORDS) if strict else "|".join(fixed.WRITE_WORDS)
+    return ~text.rlike("(?i)" + pattern)
 
 
 def sql_statements(text: Column) -> Column:
     return F.size(F.filter(F.split(text, ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
 
 
-def whole_word(text: Column, words: list[str], insensitive: bool = True) -> Column:
-    """Whether any of ``words`` occurs as a whole word."""
-    if not words:
-        return F.lit(False)
-    flag = "(?i)" if insensitive else ""
-    return text.rlike(rf"{flag}\b(?:{'|'.join(re.escape(w) for w in words)})\b")
+def word_pattern(words: list[str]) -> str:
+    """Any of ``words`` between characters that are no ASCII letter, digit or underscore."""
+    longest_first = sorted(set(words), key=lambda w: (-len(w), w))
+    return rf"(?<![A-Za-z0-9_])(?:{'|'.join(re.escape(w) for w in longest_first)})(?![A-Za-z0-9_])"
 
 
 def redact_words(text: Column, words: list[str]) -> Column:
     if not words:
         return text
-    longest_first = sorted(set(words), key=lambda w: (-len(w), w))
-    pattern = rf"(?i)\b(?:{'|'.join(re.escape(w) for w in longest_first)})\b"
-    return F.regexp_replace(text, pattern, fixed.REDACTED)
+    return F.regexp_replace(text, "(?i)" + word_pattern(words), fixed.REDACTED)
 
 
 def keywords(text: Column, longer_than: int = 3, first: int = 5) -> Column:

@@ -7,8 +7,6 @@ literals; judging a log is one projection without any shuffle.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +99,7 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
     bare_tables = F.transform(parsed["tables"], lambda t: F.regexp_replace(t, r"^public\.", ""))
     personal = [
         F.when(
-            lowered.rlike(rf"\b{re.escape(column.lower())}\b")
+            lowered.rlike(textcols.word_pattern([column.lower()]))
             | (star & F.array_contains(bare_tables, table.lower())),
             _violation("pii_check", F.lit(table), F.lit(column)),
         )
