@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyward.operators.eventlog import EventLayout, checked_events
 from tallyward.session import scratch
@@ -67,19 +67,34 @@ def ingest_stream(incoming: DataFrame, layout: EventLayout, now=None) -> DataFra
     return checked.withColumn("accepted", F.col("reject_reason").isNull())
 
 
+def _timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """A watermark needs a zoned time; with the session in UTC it is the same instant."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
+def _plain(column: str | Column, name: str) -> Column:
+    moment = F.col(column) if isinstance(column, str) else column
+    return moment.cast("timestamp_ntz").alias(name)
+
+
 def dedupe_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """The first row of each key; keys are remembered for the watermark's delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    unique = _timed(stream, ts, delay).dropDuplicatesWithinWatermark(keys)
+    return unique.select(*[_plain(c, c) if c == ts else F.col(c) for c in stream.columns])
+
+
+def _windows(ts: str, length: str, slide: str | None) -> Column:
+    return F.window(ts, length, slide) if slide else F.window(ts, length)
 
 
 def signals_stream(
     stream: DataFrame, layout: EventLayout, length: str, slide: str | None, delay: str
 ) -> DataFrame:
     """Events per type in windows of ``length``, sliding by ``slide`` or tumbling."""
-    window = F.window(layout.ts, length, slide) if slide else F.window(layout.ts, length)
-    counted = stream.withWatermark(layout.ts, delay).groupBy(window, layout.type).agg(F.count("*").alias("events"))
+    window = _windows(layout.ts, length, slide).alias("_window")
+    counted = _timed(stream, layout.ts, delay).groupBy(window, layout.type).agg(F.count("*").alias("events"))
     return counted.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), layout.type, "events"
+        _plain("_window.start", "window_start"), _plain("_window.end", "window_end"), layout.type, "events"
     )
 
 
@@ -87,12 +102,10 @@ def rates_stream(
     stream: DataFrame, layout: EventLayout, kinds: dict[str, str], length: str, slide: str | None, delay: str
 ) -> DataFrame:
     """Counts of named event types side by side per window."""
-    window = F.window(layout.ts, length, slide) if slide else F.window(layout.ts, length)
+    window = _windows(layout.ts, length, slide).alias("_window")
     counts = [F.count_if(F.col(layout.type) == t).alias(n) for n, t in kinds.items()]
-    counted = stream.withWatermark(layout.ts, delay).groupBy(window).agg(*counts)
-    return counted.select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *kinds
-    )
+    counted = _timed(stream, layout.ts, delay).groupBy(window).agg(*counts)
+    return counted.select(_plain("_window.start", "window_start"), _plain("_window.end", "window_end"), *kinds)
 
 
 def case_sessions(stream: DataFrame, key: str, layout: EventLayout, idle: str, delay: str) -> DataFrame:
@@ -101,67 +114,86 @@ def case_sessions(stream: DataFrame, key: str, layout: EventLayout, idle: str, d
     Counts, first and last times combine before the shuffle.
     """
     runs = (
-        stream.filter(F.col(key).isNotNull())
-        .withWatermark(layout.ts, delay)
+        _timed(stream.filter(F.col(key).isNotNull()), layout.ts, delay)
         .groupBy(F.session_window(layout.ts, idle).alias("_run"), key)
         .agg(F.count("*").alias("events"), F.min(layout.ts).alias("first_ts"), F.max(layout.ts).alias("last_ts"))
     )
-    return runs.select(key, "events", "first_ts", "last_ts")
-
-
-CASE_OUTPUT = "case_id bigint, events bigint, last_ts timestamp, minutes_since_previous double, closed boolean"
-CASE_STATE = "events bigint, last_us bigint"
-
-
-def _advance_case(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one case's new counts into its state; a case that idles out is closed."""
-    (case_id,) = key
-    if state.hasTimedOut:
-        events, last_us = state.get
-        state.remove()
-        gap, closed = None, True
-    else:
-        events, last_us = state.get if state.exists else (0, None)
-        fresh, first_us, newest_us = 0, None, last_us
-        for rows in batches:
-            fresh += int(rows["events"].sum())
-            low, high = int(rows["first_us"].min()), int(rows["last_us"].max())
-            first_us = low if first_us is None else min(first_us, low)
-            newest_us = high if newest_us is None else max(newest_us, high)
-        gap = None if last_us is None else (first_us - last_us) / 60_000_000
-        events, last_us, closed = events + fresh, newest_us, False
-        state.update((events, last_us))
-        horizon = max(last_us // 1000, state.getCurrentWatermarkMs()) + _IDLE_MS
-        state.setTimeoutTimestamp(horizon)
-    yield pd.DataFrame(
-        {
-            "case_id": [case_id],
-            "events": [events],
-            "last_ts": [pd.Timestamp(last_us, unit="us")],
-            "minutes_since_previous": [gap],
-            "closed": [closed],
-        }
-    )
+    return runs.select(key, "events", _plain("first_ts", "first_ts"), _plain("last_ts", "last_ts"))
+
 
+CASE_OUTPUT = "case_id bigint, events bigint, last_us bigint, gap_us bigint, closed boolean"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_IDLE_MS = 24 * 3600 * 1000
 
+def _case_processor(idle_ms: int) -> StatefulProcessor:
+    """The stateful step; a local class, so that workers need not have this package."""
 
-def case_state_stream(stream: DataFrame, key: str, layout: EventLayout, delay: str, pulse: str = "1 hour") -> DataFrame:
+    class CaseState(StatefulProcessor):
+        """Events so far and last time of one case; a case that idles out is closed and forgotten."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("case", "events bigint, last_us bigint")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            events, last_us = self.state.get() if self.state.exists() else (0, None)
+            first_us, newest_us = None, last_us
+            for frame in rows:
+                events += int(frame["events"].sum())
+                low, high = int(frame["first_us"].min()), int(frame["last_us"].max())
+                first_us = low if first_us is None else min(first_us, low)
+                newest_us = high if newest_us is None else max(newest_us, high)
+            gap = None if last_us is None else first_us - last_us
+            self.state.update((events, newest_us))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest_us // 1000 + idle_ms)
+            yield self._row(key, events, newest_us, gap, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            events, last_us = self.state.get()
+            self.state.clear()
+            yield self._row(key, events, last_us, None, True)
+
+        def close(self) -> None:
+            pass
+
+        @staticmethod
+        def _row(key, events, last_us, gap, closed) -> pd.DataFrame:
+            gaps = pd.array([gap], dtype="Int64")
+            return pd.DataFrame(
+                {"case_id": [key[0]], "events": [events], "last_us": [last_us], "gap_us": gaps, "closed": [closed]}
+            )
+
+    return CaseState()
+
+
+def case_state_stream(
+    stream: DataFrame, key: str, layout: EventLayout, delay: str, pulse: str = "1 hour", idle_hours: int = 24
+) -> DataFrame:
     """Live state of each case: events so far, last time, minutes since the state before.
 
     Events are first counted per case and ``pulse`` with map-side combine, so
     the stateful step receives one row per case and pulse however busy a case
-    is. A case without events for a day is closed and forgotten.
+    is. A case without events for ``idle_hours`` is closed. The session must
+    use the RocksDB state store (``STATE_STORE``).
     """
     us = F.unix_micros(F.col(layout.ts))
     pulses = (
-        stream.filter(F.col(key).isNotNull())
-        .withColumn(layout.ts, F.col(layout.ts).cast("timestamp"))
-        .withWatermark(layout.ts, delay)
+        _timed(stream.filter(F.col(key).isNotNull()), layout.ts, delay)
         .groupBy(F.window(layout.ts, pulse), F.col(key).alias("case_id"))
         .agg(F.count("*").alias("events"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
     )
-    return pulses.groupBy("case_id").applyInPandasWithState(
-        _advance_case, CASE_OUTPUT, CASE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    states = pulses.groupBy("case_id").transformWithStateInPandas(
+        statefulProcessor=_case_processor(idle_hours * 3_600_000),
+        outputStructType=CASE_OUTPUT,
+        outputMode="append",
+        timeMode="eventTime",
+    )
+    return states.select(
+        "case_id",
+        "events",
+        _plain(F.timestamp_micros("last_us"), "last_ts"),
+        (F.col("gap_us") / F.lit(60_000_000.0)).alias("minutes_since_previous"),
+        "closed",
     )
