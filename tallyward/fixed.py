@@ -9,11 +9,12 @@ WRITE_WORDS = [
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE",
 ]
 
-# Patterns over query text (case-insensitive).
-TABLE_PATTERN = r"(?i)(?:FROM|JOIN)\s+([a-z_][a-z0-9_.]*)"
-SELECT_LIST_PATTERN = r"(?is)SELECT\s+(.*?)(?<![A-Za-z0-9_])FROM(?![A-Za-z0-9_])"
-LIMIT_PATTERN = r"(?i)LIMIT\s+(\d+)"
-JOIN_PATTERN = r"(?i)JOIN\s+\S+\s+\S*\s*ON\s+(\S+)\s*=\s*(\S+)"
+# Patterns over lower-cased query text.
+TABLE_PATTERN = r"(?:from|join)\s+([a-z_][a-z0-9_.]*)"
+SELECT_LIST_PATTERN = r"(?s)select\s+(.*?)from(?<![a-z0-9_]from)(?![a-z0-9_])"
+LAST_WORD_PATTERN = r"([^\s,]+)\s*(?:,|\z)"
+LIMIT_PATTERN = r"limit\s+(\d+)"
+JOIN_PATTERN = r"join\s+\S+\s+\S*\s*on\s+(\S+)\s*=\s*(\S+)"
 SELECT_STAR_PATTERN = r"select\s+\*"
 
 # Order in which failed checks are reported; the first gives the reason.

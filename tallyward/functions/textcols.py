@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,46 +12,51 @@ from pyspark.sql import functions as F
 from tallyward import fixed
 
 
-def sql_tables(text: Column) -> Column:
-    """Distinct lower-cased names after FROM or JOIN, in order of appearance."""
-    found = F.regexp_extract_all(text, F.lit(fixed.TABLE_PATTERN), F.lit(1))
-    return F.array_distinct(F.transform(found, F.lower))
+def sql_tables(lowered: Column) -> Column:
+    """Distinct names after FROM or JOIN in lower-cased text, in order of appearance."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(fixed.TABLE_PATTERN), F.lit(1)))
 
 
-def sql_columns(text: Column) -> Column:
-    """Output names of the first select list; empty for ``*`` or no select."""
-    clause = F.regexp_extract(text, fixed.SELECT_LIST_PATTERN, 1)
+def sql_select_list(lowered: Column) -> Column:
+    """The text between the first SELECT and its FROM; empty if there is none."""
+    return F.regexp_extract(lowered, fixed.SELECT_LIST_PATTERN, 1)
 
-    def output_name(part: Column) -> Column:
-        last = F.element_at(F.split(F.trim(part), r"(?i)\s+(?:AS\s+)?"), -1)
-        return F.lower(F.regexp_replace(last, "['\"]", ""))
 
-    names = F.filter(F.transform(F.split(clause, ","), output_name), lambda n: n != "")
-    return F.when(F.trim(clause) == "*", F.array().cast("array<string>")).otherwise(names)
+def sql_columns(select_list: Column) -> Column:
+    """Output names of a select list; empty for ``*`` or no select.
+
+    A name is the last word before a comma or the end, without quotes.
+    """
+    last_words = F.regexp_extract_all(select_list, F.lit(fixed.LAST_WORD_PATTERN), F.lit(1))
+    names = F.filter(F.transform(last_words, lambda w: F.translate(w, "\"'", "")), lambda n: n != "")
+    none = F.array().cast("array<string>")
+    return F.when((select_list == "") | (F.trim(select_list) == "*"), none).otherwise(names)
 
 
-def sql_joins(text: Column) -> Column:
+def sql_joins(lowered: Column) -> Column:
     """Column pairs of ``JOIN x y ON a = b`` without their first qualifier."""
     pattern = F.lit(fixed.JOIN_PATTERN)
-    left = F.regexp_extract_all(text, pattern, F.lit(1))
-    right = F.regexp_extract_all(text, pattern, F.lit(2))
+    left = F.regexp_extract_all(lowered, pattern, F.lit(1))
+    right = F.regexp_extract_all(lowered, pattern, F.lit(2))
 
     def bare(name: Column) -> Column:
-        return F.regexp_replace(F.lower(name), r"^(.*?)\w+\.(.*)$", "$1$2")
+        return F.regexp_replace(name, r"^(.*?)\w+\.(.*)$", "$1$2")
 
-    return F.zip_with(
+    pairs = F.zip_with(
         left, right, lambda a, b: F.struct(bare(a).alias("left_col"), bare(b).alias("right_col"))
     )
+    none = F.array().cast("array<struct<left_col:string,right_col:string>>")
+    return F.when(F.contains(lowered, F.lit("join")), pairs).otherwise(none)
 
 
-def sql_limit(text: Column) -> Column:
-    digits = F.regexp_extract(text, fixed.LIMIT_PATTERN, 1)
-    # more digits than a long holds still means a limit, and one above any ceiling
-    return F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(2**63 - 1)))
+def sql_limit_digits(lowered: Column) -> Column:
+    """The digits after the first LIMIT; empty if there is none."""
+    return F.regexp_extract(lowered, fixed.LIMIT_PATTERN, 1)
 
 
-def sql_has_limit(text: Column) -> Column:
-    return text.rlike(fixed.LIMIT_PATTERN)
+def sql_limit(digits: Column) -> Column:
+    # more digits than a long holds still mean a limit, and one above any ceiling
+    return F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(2**63 - 1)))
 
 
 def sql_read_only(text: Column, strict: bool = False) -> Column:
@@ -58,18 +65,26 @@ def sql_read_only(text: Column, strict: bool = False) -> Column:
     By default a word counts anywhere in the text, so ``created_at`` trips
     CREATE; ``strict`` asks for whole words.
     """
-    pattern = word_pattern(fixed.WRITE_WORDS) if strict else "|".join(fixed.WRITE_WORDS)
-    return ~text.rlike("(?i)" + pattern)
+    if strict:
+        return ~text.rlike("(?i)" + word_pattern(fixed.WRITE_WORDS))
+    upper = F.upper(text)
+    return ~reduce(or_, [F.contains(upper, F.lit(w)) for w in fixed.WRITE_WORDS])
 
 
 def sql_statements(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
+    """Pieces between semicolons that hold more than white space."""
+    several = F.regexp_count(text, F.lit(r"[^;\s][^;]*"))
+    return F.when(F.contains(text, F.lit(";")), several).otherwise(text.rlike(r"\S").cast("int"))
 
 
 def word_pattern(words: list[str]) -> str:
-    """Any of ``words`` between characters that are no ASCII letter, digit or underscore."""
-    longest_first = sorted(set(words), key=lambda w: (-len(w), w))
-    return rf"(?<![A-Za-z0-9_])(?:{'|'.join(re.escape(w) for w in longest_first)})(?![A-Za-z0-9_])"
+    """Any of ``words`` between characters that are no ASCII letter, digit or underscore.
+
+    The character before is tested last, so that most places in a text are
+    passed over after one comparison.
+    """
+    longest_first = [re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))]
+    return "|".join(rf"{w}(?<![A-Za-z0-9_]{w})(?![A-Za-z0-9_])" for w in longest_first)
 
 
 def redact_words(text: Column, words: list[str]) -> Column:
@@ -82,8 +97,3 @@ def keywords(text: Column, longer_than: int = 3, first: int = 5) -> Column:
     """The first few lower-cased words longer than ``longer_than`` characters."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > longer_than)
     return F.slice(words, 1, first)
-
-
-def holds(text: Column, token: str) -> Column:
-    """Case-insensitive substring test against a constant."""
-    return F.contains(F.lower(text), F.lit(token.lower()))

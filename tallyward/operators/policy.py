@@ -25,22 +25,30 @@ RESULT = f"struct<allow:boolean,violations:array<{VIOLATION}>>"
 INPUT = f"struct<agent_id:string,tool_name:string,sql:string,parsed:{PARSED}>"
 
 
-def parsed_column(text: Column, strict: bool = False) -> Column:
-    """What the checks need to know about one query text."""
-    return F.struct(
-        textcols.sql_tables(text).alias("tables"),
-        textcols.sql_columns(text).alias("columns"),
-        textcols.sql_has_limit(text).alias("has_limit"),
-        textcols.sql_limit(text).alias("limit_value"),
+def parse_sql(log: DataFrame, column: str = "sql_text", strict: bool = False) -> DataFrame:
+    """Add ``parsed``: what the checks need to know about each query text.
+
+    ``strict`` counts write words only as whole words. Shared pieces are
+    columns of their own so that each pattern runs once per text.
+    """
+    text = F.col(column)
+    staged = (
+        log.withColumn("_lowered", F.lower(text))
+        .withColumn("_select_list", textcols.sql_select_list(F.col("_lowered")))
+        .withColumn("_digits", textcols.sql_limit_digits(F.col("_lowered")))
+    )
+    parsed = F.struct(
+        textcols.sql_tables(F.col("_lowered")).alias("tables"),
+        textcols.sql_columns(F.col("_select_list")).alias("columns"),
+        (F.col("_digits") != "").alias("has_limit"),
+        textcols.sql_limit(F.col("_digits")).alias("limit_value"),
         textcols.sql_read_only(text, strict).alias("is_read_only"),
         textcols.sql_statements(text).alias("statement_count"),
-        textcols.sql_joins(text).alias("joins"),
+        textcols.sql_joins(F.col("_lowered")).alias("joins"),
     )
-
-
-def parse_sql(log: DataFrame, column: str = "sql_text", strict: bool = False) -> DataFrame:
-    """Add ``parsed``; ``strict`` counts write words only as whole words."""
-    return log.withColumn("parsed", parsed_column(F.col(column), strict))
+    # through a generator, so that a later filter on the verdict is not pushed below
+    # and does not repeat the parsing
+    return staged.select(*log.columns, F.explode(F.array(parsed)).alias("parsed"))
 
 
 def _violation(check: str, *values: Column) -> Column:
@@ -84,14 +92,15 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
         return F.when(failed, F.array(_violation(check, *values))).otherwise(none)
 
     outside = F.transform(
-        F.filter(parsed["tables"], lambda t: ~F.array_contains(allowed_tables, t)),
+        F.sort_array(F.array_except(parsed["tables"], allowed_tables)),
         lambda t: _violation("bundle_scope", t, bundle_name),
     )
+    unlisted = F.filter(
+        parsed["joins"],
+        lambda j: ~F.array_contains(allowed_pairs, F.concat_ws("=", j["left_col"], j["right_col"])),
+    )
     odd_joins = F.transform(
-        F.filter(
-            parsed["joins"],
-            lambda j: ~F.array_contains(allowed_pairs, F.concat_ws("=", j["left_col"], j["right_col"])),
-        ),
+        F.sort_array(F.array_distinct(unlisted)),
         lambda j: _violation("join_allowlist", j["left_col"], j["right_col"]),
     )
     lowered = F.lower(sql)
@@ -116,8 +125,8 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
     if policy.single_statement:
         count = parsed["statement_count"]
         found.append(one("single_statement", has_sql & (count > 1), count))
-    found.append(F.when(in_scope, F.array_sort(outside)).otherwise(none))
-    found.append(F.when(in_scope, F.array_sort(odd_joins)).otherwise(none))
+    found.append(F.when(in_scope & (F.size(parsed["tables"]) > 0), outside).otherwise(none))
+    found.append(F.when(in_scope & (F.size(parsed["joins"]) > 0), odd_joins).otherwise(none))
     if not policy.allow_execute:
         found.append(one("execution_permission", has_sql))
     if policy.pii_mode == "block":
@@ -128,7 +137,7 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
         found.append(
             one("limit_value", has_sql & parsed["has_limit"] & (parsed["limit_value"] > top), parsed["limit_value"], top)
         )
-    return F.array_distinct(F.concat(*found))
+    return F.concat(*found)
 
 
 def with_verdict(df: DataFrame, violations: Column) -> DataFrame:
@@ -176,7 +185,7 @@ def decision_log(evaluated: DataFrame, revision: str) -> DataFrame:
 
 def replay(log: DataFrame, policy: Policy) -> DataFrame:
     """Judge logged inputs again; ``replay_*`` columns stand beside the original verdict."""
-    given = log.withColumn("_in", F.from_json("input", INPUT)).withColumn("_out", F.from_json("result", RESULT))
+    given = log.select("*", F.explode(F.array(F.from_json("input", INPUT))).alias("_in"))
     again = violations_column(
         policy,
         F.col("_in.agent_id"),
@@ -186,9 +195,9 @@ def replay(log: DataFrame, policy: Policy) -> DataFrame:
     return (
         given.withColumn("replay_violations", again)
         .withColumn("replay_allowed", F.size("replay_violations") == 0)
-        .withColumn("original_violations", F.col("_out.violations"))
+        .withColumn("original_violations", F.from_json("result", RESULT)["violations"])
         .withColumn("changed", F.col("allowed") != F.col("replay_allowed"))
-        .drop("_in", "_out")
+        .drop("_in")
     )
 
 

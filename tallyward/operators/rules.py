@@ -21,6 +21,10 @@ from tallyward.functions.literals import list_map, lookup, text_array, text_map
 from tallyward.plans.model import Policy
 
 
+def holds(lowered: Column, token: str) -> Column:
+    return F.contains(lowered, F.lit(token.lower()))
+
+
 @dataclass(frozen=True)
 class Tokens:
     """Token conditions on a text; an empty condition always holds."""
@@ -29,22 +33,22 @@ class Tokens:
     require_any: tuple[str, ...] = ()
     forbid_any: tuple[str, ...] = ()
 
-    def test(self, text: Column) -> Column:
-        parts = [textcols.holds(text, t) for t in self.require_all]
+    def test(self, lowered: Column) -> Column:
+        parts = [holds(lowered, t) for t in self.require_all]
         if self.require_any:
-            parts.append(reduce(or_, [textcols.holds(text, t) for t in self.require_any]))
-        parts += [~textcols.holds(text, t) for t in self.forbid_any]
+            parts.append(reduce(or_, [holds(lowered, t) for t in self.require_any]))
+        parts += [~holds(lowered, t) for t in self.forbid_any]
         return reduce(and_, parts, F.lit(True))
 
-    def why_not(self, text: Column) -> Column:
+    def why_not(self, lowered: Column) -> Column:
         """The first condition that does not hold, as text."""
         reasons = [
-            F.when(~textcols.holds(text, t), F.lit(f'required token "{t}" is missing')) for t in self.require_all
+            F.when(~holds(lowered, t), F.lit(f'required token "{t}" is missing')) for t in self.require_all
         ]
         if self.require_any:
-            none = ~reduce(or_, [textcols.holds(text, t) for t in self.require_any])
+            none = ~reduce(or_, [holds(lowered, t) for t in self.require_any])
             reasons.append(F.when(none, F.lit(f"none of these tokens occurs: {', '.join(self.require_any)}")))
-        reasons += [F.when(textcols.holds(text, t), F.lit(f'forbidden token "{t}" occurs')) for t in self.forbid_any]
+        reasons += [F.when(holds(lowered, t), F.lit(f'forbidden token "{t}" occurs')) for t in self.forbid_any]
         return F.coalesce(*reasons, F.lit(""))
 
 
@@ -82,53 +86,71 @@ class Rule:
 PASS, FAIL, SKIP, MANUAL = "pass", "fail", "not_applicable", "manual"
 
 
-def _identifier_hits(sql: Column, names: list[str]) -> Column:
-    lowered = F.lower(F.coalesce(sql, F.lit("")))
+def _identifier_hits(lowered_sql: Column, names: list[str]) -> Column:
+    lowered = F.coalesce(lowered_sql, F.lit(""))
     hits = [
         F.when(lowered.rlike(rf"(^|[^a-z0-9_]){re.escape(n.lower())}([^a-z0-9_]|$)"), F.lit(n)) for n in names
     ]
     return F.array_compact(F.array(*hits))
 
 
-def rule_status(rule: Rule, sql: Column, text: Column, pii_names: list[str]) -> tuple[Column, Column]:
-    """``(status, detail)`` of one rule."""
+def rule_status(rule: Rule, sql: Column, text: Column, pii_names: list[str]) -> Column:
+    """Status of one rule on the lower-cased query and result text."""
     check = rule.check
     if check is None or check.kind in ("manual", "query_result"):
-        return F.lit(MANUAL), F.lit((check.message if check else None) or "needs review")
+        return F.lit(MANUAL)
     if check.kind == "pii_columns":
         if not pii_names:
-            return F.lit(SKIP), F.lit("no personal columns are declared")
-        hits = _identifier_hits(sql, pii_names)
-        told = F.lit(check.message) if check.message else F.concat(F.lit("personal columns: "), F.array_join(hits, ", "))
-        return F.when(F.size(hits) > 0, FAIL).otherwise(PASS), F.when(F.size(hits) > 0, told)
+            return F.lit(SKIP)
+        return F.when(F.size(_identifier_hits(sql, pii_names)) > 0, FAIL).otherwise(PASS)
     candidate = sql if check.kind == "sql_pattern" else text
     gate = check.applies_when.test(candidate) if check.applies_when else F.lit(True)
     required = check.require.test(candidate) if check.require else F.lit(True)
-    status = (
-        F.when(candidate.isNull(), SKIP).when(~gate, SKIP).when(required, PASS).otherwise(FAIL)
-    )
-    told = F.lit(check.message) if check.message else (check.require or Tokens()).why_not(candidate)
-    return status, F.when(status == FAIL, told)
+    return F.when(candidate.isNull(), SKIP).when(~gate, SKIP).when(required, PASS).otherwise(FAIL)
+
+
+def rule_detail(rule: Rule, sql: Column, text: Column, pii_names: list[str]) -> Column:
+    """Why a rule failed, or what is left to review."""
+    check = rule.check
+    if check is None or check.kind in ("manual", "query_result"):
+        return F.lit((check.message if check else None) or "needs review")
+    if check.message:
+        return F.lit(check.message)
+    if check.kind == "pii_columns":
+        return F.concat(F.lit("personal columns: "), F.array_join(_identifier_hits(sql, pii_names), ", "))
+    return (check.require or Tokens()).why_not(sql if check.kind == "sql_pattern" else text)
 
 
-def in_scope(rule: Rule, query_tables: Column, text: Column) -> Column:
+def in_scope(rule: Rule, query_tables: Column | None, lowered_text: Column) -> Column:
     """Whether a table of the rule is queried or its name occurs in the answer text."""
-    tests = [
-        F.array_contains(query_tables, t) | F.coalesce(textcols.holds(text, t), F.lit(False)) for t in rule.tables
-    ]
+    tests = []
+    for table in rule.tables:
+        if query_tables is not None:
+            tests.append(F.array_contains(query_tables, table))
+        tests.append(F.coalesce(holds(lowered_text, table), F.lit(False)))
     return reduce(or_, tests, F.lit(False))
 
 
-def _query_tables(sql: Column) -> Column:
-    names = textcols.sql_tables(F.coalesce(sql, F.lit("")))
-    return F.transform(names, lambda t: F.regexp_replace(t, r"^public\.", ""))
+def _staged(answers: DataFrame) -> DataFrame:
+    """Answers with ``_sql`` and ``_text`` in lower case and ``_tables``, each worked out once."""
+    names = textcols.sql_tables(F.coalesce("_sql", F.lit("")))
+    return (
+        answers.withColumn("_sql", F.lower("sql_text"))
+        .withColumn("_text", F.lower("result_text"))
+        .withColumn("_tables", F.transform(names, lambda t: F.regexp_replace(t, r"^public\.", "")))
+    )
 
 
 def check_rules(answers: DataFrame, rules: list[Rule], pii_names: list[str]) -> DataFrame:
     """``answer_id, rule, severity, method, status, detail`` for every answer and rule."""
+    sql, text = F.col("_sql"), F.col("_text")
+    staged = _staged(answers).select(
+        "answer_id", "_sql", "_text", *[rule_status(r, sql, text, pii_names).alias(f"_s{i}") for i, r in enumerate(rules)]
+    )
     results = []
-    for rule in rules:
-        status, detail = rule_status(rule, F.col("sql_text"), F.col("result_text"), pii_names)
+    for i, rule in enumerate(rules):
+        status = F.col(f"_s{i}")
+        detail = F.when(status.isin(FAIL, MANUAL), rule_detail(rule, sql, text, pii_names))
         results.append(
             F.struct(
                 F.lit(rule.name).alias("rule"),
@@ -138,53 +160,48 @@ def check_rules(answers: DataFrame, rules: list[Rule], pii_names: list[str]) ->
                 detail.cast("string").alias("detail"),
             )
         )
-    return answers.select("answer_id", F.inline(F.array(*results)))
+    return staged.select("answer_id", F.inline(F.array(*results)))
 
 
 def rules_in_scope(answers: DataFrame, rules: list[Rule]) -> DataFrame:
     """``answer_id, rule`` for the rules that concern each answer."""
-    tables = _query_tables(F.col("sql_text"))
-    names = [F.when(in_scope(r, tables, F.col("result_text")), F.lit(r.name)) for r in rules]
-    return answers.select("answer_id", F.explode(F.array_compact(F.array(*names))).alias("rule"))
+    names = [F.when(in_scope(r, F.col("_tables"), F.col("_text")), F.lit(r.name)) for r in rules]
+    return _staged(answers).select("answer_id", F.explode(F.array_compact(F.array(*names))).alias("rule"))
+
+
+def _names(rules: list[Rule], wanted: str, value=lambda r: r.name) -> Column:
+    """Names of the rules whose staged status is ``wanted``."""
+    parts = [F.when(F.col(f"_s{i}") == wanted, F.lit(value(r))) for i, r in enumerate(rules)]
+    return F.array_compact(F.array(*parts)) if parts else text_array([])
 
 
 def verify_answers(answers: DataFrame, rules: list[Rule], policy: Policy) -> DataFrame:
-    """``answer_id, agent_id, verified, failed_rules, manual_rules, out_of_scope, warnings``.
+    """``answer_id, agent_id, verified``, the rules by result, ``out_of_scope`` and ``warnings``.
 
     Covers the caller's bundle and every error rule in scope. An answer that
     no rule concerns is verified unless it left its bundle.
     """
-    sql, text = F.col("sql_text"), F.col("result_text")
-    tables = _query_tables(sql)
+    strict = [r for r in rules if r.severity == "error"]
     bundle = lookup(text_map({a.name: a.bundle for a in policy.agents}), F.col("agent_id"))
     allowed = lookup(list_map({b.name: [t.lower() for t in b.tables] for b in policy.bundles}), bundle)
-    outside = F.when(
-        allowed.isNotNull() & sql.isNotNull(), F.array_except(tables, F.coalesce(allowed, text_array([])))
-    ).otherwise(text_array([]))
-
-    failed, manual, warnings, passed = [], [], [], []
-    for rule in rules:
-        if rule.severity != "error":
-            continue
-        relevant = in_scope(rule, tables, text)
-        status, _ = rule_status(rule, sql, text, policy.pii_names)
-        failed.append(F.when(relevant & (status == FAIL), F.lit(rule.name)))
-        warnings.append(F.when(relevant & (status == FAIL), F.lit(rule.guidance)))
-        manual.append(F.when(relevant & (status == MANUAL), F.lit(rule.name)))
-        passed.append(F.when(relevant & (status == PASS), F.lit(rule.name)))
-
-    def names(parts: list[Column]) -> Column:
-        return F.array_compact(F.array(*parts)) if parts else text_array([])
-
+    statuses = [
+        F.when(
+            in_scope(r, F.col("_tables"), F.col("_text")),
+            rule_status(r, F.col("_sql"), F.col("_text"), policy.pii_names),
+        ).alias(f"_s{i}")
+        for i, r in enumerate(strict)
+    ]
+    staged = _staged(answers).select("answer_id", "agent_id", "_tables", allowed.alias("_allowed"), *statuses)
+    outside = F.coalesce(F.array_except("_tables", "_allowed"), text_array([]))
     return (
-        answers.select(
+        staged.select(
             "answer_id",
             "agent_id",
             outside.alias("out_of_scope"),
-            names(passed).alias("passed_rules"),
-            names(failed).alias("failed_rules"),
-            names(manual).alias("manual_rules"),
-            names(warnings).alias("warnings"),
+            _names(strict, PASS).alias("passed_rules"),
+            _names(strict, FAIL).alias("failed_rules"),
+            _names(strict, MANUAL).alias("manual_rules"),
+            _names(strict, FAIL, lambda r: r.guidance).alias("warnings"),
         )
         .withColumn("verified", (F.size("out_of_scope") == 0) & (F.size("failed_rules") == 0))
         .withColumn(
@@ -197,19 +214,20 @@ def consistency(
     answers: DataFrame, rules: list[Rule], pii_names: list[str], applicable: list[str] | None = None
 ) -> DataFrame:
     """Answer text against all rules, or against a given list without scoping."""
-    text = F.col("result_text")
     chosen = [r for r in rules if applicable is None or r.name in applicable]
-    violated, manual = [], []
-    for rule in chosen:
-        relevant = F.lit(True) if applicable is not None else in_scope(rule, text_array([]), text)
-        status, _ = rule_status(rule, F.lit(None).cast("string"), text, pii_names)
-        violated.append(F.when(relevant & (status == FAIL), F.lit(rule.name)))
-        manual.append(F.when(relevant & (status == MANUAL), F.lit(rule.name)))
-    return answers.select(
+    text, no_sql = F.col("_text"), F.lit(None).cast("string")
+    statuses = []
+    for i, rule in enumerate(chosen):
+        status = rule_status(rule, no_sql, text, pii_names)
+        if applicable is None:
+            status = F.when(in_scope(rule, None, text), status)
+        statuses.append(status.alias(f"_s{i}"))
+    staged = answers.withColumn("_text", F.lower("result_text")).select("answer_id", *statuses)
+    return staged.select(
         "answer_id",
         F.lit(len(chosen)).cast("bigint").alias("rules_checked"),
-        (F.array_compact(F.array(*violated)) if violated else text_array([])).alias("violated_rules"),
-        (F.array_compact(F.array(*manual)) if manual else text_array([])).alias("manual_rules"),
+        _names(chosen, FAIL).alias("violated_rules"),
+        _names(chosen, MANUAL).alias("manual_rules"),
     ).withColumn("consistent", F.size("violated_rules") == 0)
 
 

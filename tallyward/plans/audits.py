@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyward import fixed
 from tallyward.functions.literals import list_map, lookup, text_array, text_map
-from tallyward.plans.model import Scope, Semantics
+from tallyward.plans.model import Model, Scope, Semantics, WindowRule
 
 DAY_MICROS = 86_400_000_000
 
@@ -32,31 +32,42 @@ def _empty() -> Column:
 def audit_requests(requests: DataFrame, semantics: Semantics, scope: Scope) -> DataFrame:
     """``request_id, code``: one row for each reason a request would be refused."""
     agg_of = text_map({f"{m.name}.{s.name}": s.agg for m in semantics.models for s in m.measures})
-    table_of = text_map({m.name: m.table for m in semantics.models})
     dims = F.coalesce("dimensions", _empty())
-    models = F.array_sort(F.array_distinct(F.transform(F.concat("measures", dims), _model_of)))
-    measure_models = F.array_distinct(F.transform("measures", _model_of))
-
+    # the model lists are columns of their own so that each is worked out once per request
+    staged = (
+        requests.filter(F.size("measures") > 0)
+        .withColumn("_measure_models", F.array_distinct(F.transform("measures", _model_of)))
+        .withColumn("_models", F.array_union("_measure_models", F.transform(dims, _model_of)))
+        .withColumn("_models", F.sort_array("_models"))
+        .withColumn("_first", F.element_at("_models", 1))
+    )
     additive = F.exists("measures", lambda r: lookup(agg_of, r).isin(*fixed.ADDITIVE))
-    fanout = (F.size(measure_models) > 1) & additive
+    fanout = (F.size("_measure_models") > 1) & additive
 
-    allowed_tables = text_array(scope.bundle.tables)
-    outside = F.exists(models, lambda m: ~F.array_contains(allowed_tables, F.coalesce(lookup(table_of, m), F.lit(""))))
+    allowed = [m.name for m in semantics.models if m.table in scope.bundle.tables]
+    outside = F.size(F.array_except("_models", text_array(allowed))) > 0
 
-    pairs = []
+    reachable = {one.name: [one.name] for one in semantics.models}
     for one in semantics.models:
         for two in semantics.models:
             link = None if one is two else semantics.link(one, two)
             if link and any(link.same_as(a) for a in scope.bundle.links):
-                pairs.append(f"{one.name}|{two.name}")
-    allowed_pairs = text_array(pairs)
-    first = F.element_at(models, 1)
-    disallowed = (F.size(models) > 1) & F.exists(
-        F.slice(models, 2, 1_000_000),
-        lambda m: ~F.array_contains(allowed_pairs, F.concat_ws("|", first, m)),
+                reachable[one.name].append(two.name)
+    from_first = F.coalesce(lookup(list_map(reachable), F.col("_first")), _empty())
+    disallowed = (F.size("_models") > 1) & (
+        F.size(F.array_except("_models", F.array_union(F.array("_first"), from_first))) > 0
     )
 
-    unbounded = [_window_failed(semantics, rule, models) for rule in scope.bundle.windows]
+    unbounded = []
+    for n, rule in enumerate(scope.bundle.windows):
+        owner = next((m for m in semantics.models if m.table == rule.table), None)
+        if owner is not None:
+            low, high = _bounds(semantics, rule, owner)
+            staged = staged.withColumn(f"_low{n}", low).withColumn(f"_high{n}", high)
+            low, high = F.col(f"_low{n}"), F.col(f"_high{n}")
+            days = F.ceil((F.unix_micros(high) - F.unix_micros(low)) / F.lit(DAY_MICROS))
+            wide = low.isNull() | high.isNull() | (days > rule.max_days)
+            unbounded.append(F.array_contains("_models", owner.name) & wide)
     codes = F.array_compact(
         F.array(
             F.when(outside, F.lit("out_of_bundle")),
@@ -65,31 +76,24 @@ def audit_requests(requests: DataFrame, semantics: Semantics, scope: Scope) -> D
             F.when(reduce(or_, unbounded, F.lit(False)), F.lit("time_filter_required")),
         )
     )
-    return requests.filter(F.size("measures") > 0).select("request_id", F.explode(codes).alias("code"))
+    return staged.select("request_id", F.explode(codes).alias("code"))
 
 
-def _window_failed(semantics: Semantics, rule, models: Column) -> Column:
-    """True when the request uses the ruled table without a close enough pair of bounds."""
-    owner = next((m for m in semantics.models if m.table == rule.table), None)
-    if owner is None:
-        return F.lit(False)
+def _bounds(semantics: Semantics, rule: WindowRule, owner: Model) -> tuple[Column, Column]:
+    """The first lower and the first upper bound a request sets on the ruled column."""
     timed = text_array([m.name for m in semantics.models if m.time_column])
-    first_timed = F.element_at(F.filter(models, lambda m: F.array_contains(timed, m)), 1)
+    # array_intersect keeps the order of the sorted model list
+    first_timed = F.try_element_at(F.array_intersect("_models", timed), F.lit(1))
     by_range = (first_timed == owner.name) & F.lit(owner.time_column == rule.column)
     refs = text_array([f"{owner.name}.{d.name}" for d in owner.dimensions if d.column == rule.column])
+    filters = F.coalesce("filters", F.array().cast("array<struct<field:string,op:string,value:string>>"))
 
     def first_bound(ops: tuple[str, str], ranged: Column) -> Column:
-        mine = F.filter(
-            F.coalesce("filters", F.array().cast("array<struct<field:string,op:string,value:string>>")),
-            lambda f: F.array_contains(refs, f["field"]) & f["op"].isin(*ops),
-        )
+        mine = F.filter(filters, lambda f: F.array_contains(refs, f["field"]) & f["op"].isin(*ops))
         filtered = F.try_element_at(mine, F.lit(1))["value"]
         return F.coalesce(F.when(by_range, ranged), filtered).try_cast("timestamp")
 
-    low = first_bound((">", ">="), F.col("time_start"))
-    high = first_bound(("<", "<="), F.col("time_end"))
-    days = F.ceil((F.unix_micros(high) - F.unix_micros(low)) / F.lit(DAY_MICROS))
-    return F.array_contains(models, owner.name) & (low.isNull() | high.isNull() | (days > rule.max_days))
+    return first_bound((">", ">="), F.col("time_start")), first_bound(("<", "<="), F.col("time_end"))
 
 
 def resolve_refs(refs: DataFrame, semantics: Semantics, column: str = "ref") -> DataFrame:

@@ -125,9 +125,9 @@ def p04(spark, folder):
     ("v_query_log",),
 )
 def p05(spark, folder):
-    loose = policy.parse_sql(_log(spark, folder))
-    strict = policy.parsed_column(F.col("sql_text"), strict=True)["is_read_only"]
-    return loose.select("query_id", "parsed.is_read_only", strict.alias("strict_read_only"))
+    loose = policy.parse_sql(_log(spark, folder)).select("query_id", "sql_text", "parsed.is_read_only")
+    strict = policy.parse_sql(loose, strict=True)
+    return strict.select("query_id", "is_read_only", F.col("parsed.is_read_only").alias("strict_read_only"))
 
 
 @add(
