@@ -181,7 +181,7 @@ def lineage(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
 
 def lineage_of(edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
     """Upstream edges of one node under short names."""
-    root = edges.sparkSession.range(1).select(F.lit(node).alias("root"))
+    root = edges.filter(F.col("to_node") == node).select(F.col("to_node").alias("root"))
     found = lineage(edges, root, depth)
     return found.select(
         short_name(F.col("from_node")).alias("from_node"), short_name(F.col("to_node")).alias("to_node"), "depth"

@@ -29,17 +29,17 @@ PERMISSIONS = {
     "d01_missing_evidence",
     """with cited as (select proposal_id, evidence_event_id as ref from v_proposals union select proposal_id, proposal_id from v_proposals)
        select proposal_id, 'event' as kind, cast(ref as varchar) as missing from cited where ref not in (select event_id from events)
-       union all select proposal_id, 'rule', case when risk_class = 'critical' then 'no_such_rule' end from v_proposals where risk_class = 'critical'""",
-    ("v_proposals",),
+       union all select proposal_id, 'rule', risk_class from v_proposals
+           where risk_class not in (select confidence from v_outcomes)""",
+    ("v_proposals", "v_outcomes"),
 )
 def d01(spark, folder):
-    rule = F.when(F.col("risk_class") == "critical", F.lit("no_such_rule")).otherwise(F.lit("known_rule"))
     proposals = view(spark, folder, "v_proposals").select(
         "proposal_id",
         F.array("evidence_event_id", "proposal_id", "proposal_id").alias("events"),
-        F.array(rule).alias("rules"),
+        F.array("risk_class").alias("rules"),
     )
-    rules = load(spark, folder, "events").select(F.lit("known_rule").alias("rule")).distinct()
+    rules = view(spark, folder, "v_outcomes").select(F.col("confidence").alias("rule")).distinct()
     return ledger.missing_evidence(
         proposals,
         "proposal_id",
