@@ -39,7 +39,8 @@ def missing_parents(df: DataFrame, column: str, parent: DataFrame, parent_column
     that fills a third of the table costs no more than any other.
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
-    return values.join(parent, values[column] == parent[parent_column], "left_anti")
+    known = parent.select(F.col(parent_column).alias("_known")).distinct()
+    return values.join(known, F.col(column) == F.col("_known"), "left_anti")
 
 
 def check_keys(
@@ -107,8 +108,9 @@ def too_late(
 def unconfirmed(
     claims: DataFrame, claim_key: str, proofs: DataFrame, proof_key: str
 ) -> DataFrame:
-    """Claims without any proof row."""
-    return claims.join(proofs, claims[claim_key] == proofs[proof_key], "left_anti")
+    """Claims without any proof row; proofs are reduced to their keys before the shuffle."""
+    proven = proofs.select(F.col(proof_key).alias("_proven")).distinct()
+    return claims.join(proven, F.col(claim_key) == F.col("_proven"), "left_anti")
 
 
 def split_totals(df: DataFrame, amount: str, parts: dict[str, Column]) -> DataFrame:

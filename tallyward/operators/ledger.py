@@ -26,7 +26,8 @@ def missing_evidence(
     found = []
     for kind, (column, existing, key) in evidence.items():
         cited = decisions.select(id_column, F.explode(F.array_distinct(column)).alias("_ref"))
-        dangling = cited.join(existing.select(F.col(key).alias("_key")), F.col("_ref") == F.col("_key"), "left_anti")
+        known = existing.select(F.col(key).alias("_key")).distinct()
+        dangling = cited.join(known, F.col("_ref") == F.col("_key"), "left_anti")
         found.append(
             dangling.select(id_column, F.lit(kind).alias("kind"), F.col("_ref").cast("string").alias("missing"))
         )

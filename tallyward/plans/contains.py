@@ -3,8 +3,8 @@
 ``text LIKE '%phrase%'`` between two tables would compare every pair. Here
 each phrase is looked up by its last few characters: the texts list their
 distinct pieces of a few fixed lengths, the phrases are joined on the piece
-that ends them, and only those candidates are compared in full. The lengths
-double, so a long phrase is looked up by a long, selective piece.
+that ends them, and only those candidates are compared in full. A long phrase
+is looked up by a long, selective piece.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE_LENGTHS = (1, 2, 4, 8, 16)
+PIECE_LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16)
 
 
 def _pieces(text: Column, length: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - length + 1)
-    cut_out = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(length))))
-    return F.when(F.length(text) >= length, cut_out).otherwise(F.array().cast("array<string>"))
+    """Every distinct run of ``length`` characters; a look-ahead lets the runs overlap."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1)))
 
 
 def _ending(phrase: Column, lengths: tuple[int, ...]) -> Column:
@@ -39,9 +38,10 @@ def contains_join(
     """All pairs of a text row and a phrase row where the text contains the phrase.
 
     ``shortest`` states the least phrase length, which spares the shorter
-    pieces; shorter phrases do not match. Short texts travel with their
-    pieces; for longer ones give ``ids``, the columns that identify a text
-    row, and only these travel until the candidates are compared.
+    pieces; shorter phrases do not match, nor do empty ones. Short texts
+    travel with their pieces; for longer ones give ``ids``, the columns that
+    identify a text row, and only these travel until the candidates are
+    compared.
     """
     lengths = tuple(sorted({n for n in PIECE_LENGTHS if n >= shortest} | {shortest}))
     keyed = phrases.withColumn("_piece", _ending(F.col(phrase), lengths)).filter(F.col("_piece").isNotNull())
