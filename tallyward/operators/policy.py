@@ -117,27 +117,25 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
     ]
     pii_hits = F.array_compact(F.array(*personal)) if personal else none
 
-    found = [
-        one("authenticate", ~F.array_contains(known, agent), agent),
-        one("can_query", F.array_contains(mute, agent), agent, role),
-        one("read_only", has_sql & ~parsed["is_read_only"]),
-    ]
+    count, top = parsed["statement_count"], F.lit(policy.max_rows)
+    found = {
+        "authenticate": one("authenticate", ~F.array_contains(known, agent), agent),
+        "can_query": one("can_query", F.array_contains(mute, agent), agent, role),
+        "read_only": one("read_only", has_sql & ~parsed["is_read_only"]),
+        "bundle_scope": F.when(in_scope & (F.size(parsed["tables"]) > 0), outside).otherwise(none),
+        "join_allowlist": F.when(in_scope & (F.size(parsed["joins"]) > 0), odd_joins).otherwise(none),
+    }
     if policy.single_statement:
-        count = parsed["statement_count"]
-        found.append(one("single_statement", has_sql & (count > 1), count))
-    found.append(F.when(in_scope & (F.size(parsed["tables"]) > 0), outside).otherwise(none))
-    found.append(F.when(in_scope & (F.size(parsed["joins"]) > 0), odd_joins).otherwise(none))
+        found["single_statement"] = one("single_statement", has_sql & (count > 1), count)
     if not policy.allow_execute:
-        found.append(one("execution_permission", has_sql))
+        found["execution_permission"] = one("execution_permission", has_sql)
     if policy.pii_mode == "block":
-        found.append(F.when(has_sql, pii_hits).otherwise(none))
+        found["pii_check"] = F.when(has_sql, pii_hits).otherwise(none)
     if policy.enforce_limit:
-        top = F.lit(policy.max_rows)
-        found.append(one("limit_check", has_sql & ~parsed["has_limit"], top))
-        found.append(
-            one("limit_value", has_sql & parsed["has_limit"] & (parsed["limit_value"] > top), parsed["limit_value"], top)
-        )
-    return F.concat(*found)
+        limit, limited = parsed["limit_value"], parsed["has_limit"]
+        found["limit_check"] = one("limit_check", has_sql & ~limited, top)
+        found["limit_value"] = one("limit_value", has_sql & limited & (limit > top), limit, top)
+    return F.concat(*[found[check] for check in fixed.CHECK_ORDER if check in found])
 
 
 def with_verdict(df: DataFrame, violations: Column) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyward.operators.eventlog import EventLayout
-from tallyward.sources.tables import load
 from tallyward.streaming import streams
 from tallyward.suite.common import Suite
 

@@ -131,7 +131,7 @@ def test_ingest(spark):
 
 def test_parameters():
     assert signals.whole_number("d", "30", 365) == 30
-    for bad in (1.5, "x1" and "1.5", None, True):
+    for bad in (1.5, "1.5", "", None, True):
         with pytest.raises((ValueError, TypeError)):
             signals.whole_number("d", bad)
     with pytest.raises(ValueError):

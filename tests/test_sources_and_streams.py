@@ -21,7 +21,8 @@ def day(n, count, user=1):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert spark.conf.get("spark.checkpoint.dir") == shared_root(spark) if shared_root(spark) else False
+    root = shared_root(spark)
+    assert spark.conf.get("spark.checkpoint.dir") == root
     assert scratch(spark, "x").startswith(shared_root(spark)) and scratch(spark, "x") != scratch(spark, "x")
 
 
