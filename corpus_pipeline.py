@@ -7,7 +7,9 @@ written as Parquet and read again as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyward.llm import jaccard, lines, mixing, packing
 from tallyward.llm.common import stored
 from tallyward.llm.quality import quality_filter
 from tallyward.sources.tables import load
@@ -18,7 +20,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines equal to or within one word of an earlier line go, and documents of which nothing is left."""
+    rows = lines.without_copies(docs)
+    lost = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    kept = rows.filter(~F.coalesce(lost, F.lit(False)))
+    changed = F.when(F.col("n_exact") + F.col("n_near") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shared shingles, the first stays."""
+    return jaccard.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources weigh the square root of their sizes; in shuffled order."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their bucket, batch and place in it."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("mix_sources", mix_sources),
+    ("packing", pack),
+]
+#: The choice of buckets is no matter for SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 

@@ -48,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import stored, whole
@@ -259,7 +259,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, n, s1, s2, component_id`` for each row; ``tag`` is the hash of the text."""
+    """``doc_id, tag, n, component_id, keeper`` for each row.
+
+    ``tag`` is the hash of the text, ``keeper`` marks the first document of each component.
+    """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64(whole()).alias("tag"), whole().cast("binary").alias("text"))
     rows = stored(texts.mapInArrow(_sets, _SETS), "sets")
@@ -303,13 +306,27 @@ def similar(docs: DataFrame) -> DataFrame:
 
     first = classes.select(F.col("s1").alias("node"), "s2", "n", "first").join(roots, "node", "left")
     named = first.withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    labels = named.join(names, "root").select(F.col("node").alias("s1"), "s2", "n", "component_id")
+    names = named.groupBy("root").agg(F.min("first").alias("keeper"))
+    labels = named.join(names, "root").select(F.col("node").alias("s1"), "s2", "n", "keeper")
+    some = F.col("n") > 0
     return rows.join(labels, ["s1", "s2", "n"], "left").select(
-        "doc_id", "tag", "n", "s1", "s2", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id",
+        "tag",
+        "n",
+        F.when(some, F.col("keeper.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.struct("doc_id", "tag").eqNullSafe(F.col("keeper"))).otherwise(True).alias("keeper"),
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The first document of each component, with its own columns; rows equal in id and text are one."""
+    kept = similar(docs).filter("keeper").select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).distinct()
+    marked = docs.withColumn("_own", F.xxhash64(whole()))
+    joined = marked.join(kept, marked.doc_id.eqNullSafe(kept._doc) & (marked._own == kept._tag))
+    turn = F.row_number().over(Window.partitionBy("_doc", "_tag").orderBy("_own"))
+    return joined.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+
+
 def _least_fill(words: dict[int, int]):
     """The filled words of a class in each of its bands, from its counts."""
     own = own_band()
