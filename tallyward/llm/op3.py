@@ -18,13 +18,14 @@ def _joined(spans):
     )
 
 
+def _of_kind(kind):
+    return lambda x: x["kind"] == kind
+
+
 def query(spark, folder):
     rows = secrets.secret_spans(load(spark, folder, "documents"), ["doc_id"])
     base = F.filter("found", lambda x: x["kind"] < 3)
-    counts = [
-        F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("bigint").alias(f"n_{k}")
-        for i, k in enumerate(KINDS)
-    ]
+    counts = [F.size(F.filter("found", _of_kind(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select(
         "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans")
     )

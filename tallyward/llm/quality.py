@@ -97,11 +97,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def _measures() -> dict[str, Column]:
     """Whole numbers per thousand words, lines or characters."""
     return {
-        "symbols": F.expr("1000 * n_symbols div n_words"),
-        "dup_lines": F.expr("1000 * n_dup_lines div n_lines"),
-        "repeats": F.expr("1000 * n_repeat_words div n_words"),
-        "capitals": F.expr("1000 * n_capitals div word_chars"),
-        "word_length": F.expr("100 * word_chars div n_words"),
+        "symbols": F.expr("1000 * n_symbols div nullif(n_words, 0)"),
+        "dup_lines": F.expr("1000 * n_dup_lines div nullif(n_lines, 0)"),
+        "repeats": F.expr("1000 * n_repeat_words div nullif(n_words, 0)"),
+        "capitals": F.expr("1000 * n_capitals div nullif(word_chars, 0)"),
+        "word_length": F.expr("100 * word_chars div nullif(n_words, 0)"),
     }
 
 

@@ -220,6 +220,11 @@ def cuts(tokens: DataFrame) -> DataFrame:
     return ranked.filter(holds).groupBy("klass").agg((F.min("bin") / 10.0).alias("least_score"))
 
 
+def _marked(kind: int):
+    # one parameter only: Spark would fill a second one with the index
+    return lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(kind).alias("kind"))
+
+
 def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``found``: all spans as ``start, stop, kind`` by start, then kind as listed.
 
@@ -229,10 +234,7 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     """
     t = whole(text)
     known = known_spans(t)
-    parts = [
-        F.transform(spans, lambda x, i=i: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(i).alias("kind")))
-        for i, spans in enumerate(known.values())
-    ]
+    parts = [F.transform(spans, _marked(i)) for i, spans in enumerate(known.values())]
     candidates = F.filter(found(t, f"{TOKEN}{{{LEAST},}}"), lambda x: encoding(x["value"]).isNotNull())
     rows = stored(
         docs.select(
