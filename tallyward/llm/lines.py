@@ -15,8 +15,9 @@ key: equal remains with different positions may be two edits apart, so the
 position is part of the first kind of key, and in the second kind, the keys of
 longer lines meet whole lines only. So all lines at a key that are compared
 are within one edit of each other, the least rank there settles all of them,
-and no pairs are made. The least rank is a combined aggregate; a line that a
-third of all documents hold makes no large group.
+and no pairs are made. In each batch of documents all but the first of the lines
+at a key are settled at once, so a key that a third of all documents share
+gathers one row per batch.
 
 Only lines that can have a partner emit variants. An edit lies in one half of
 a line, so partners share the other half: a line whose halves no other line
@@ -37,121 +38,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.llm.common import whole
-from tallyward.llm.units import digests, in_order, later_copies, tagged
+from tallyward.llm.common import sliced, stored, whole
+from tallyward.llm.units import in_order, later_copies, scattered, tagged, turns
 
 LEAST_WORDS = 8
 ADDED = ["n_lines", "n_exact", "n_near"]
 
 
-def lines(text: str) -> list[tuple[int, int, str]]:
-    """Every line with its place and its words, a blank apart."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        out.append((at, at + len(line), b" ".join(line.encode("utf-8", "replace").lower().split()).decode()))
-        at += len(line) + 1
-    return out
+def lines(text: str) -> list[bytes]:
+    """The words of every line, in lower case and a blank apart."""
+    return [b" ".join(line.split()) for line in text.encode().lower().split(b"\n")]
 
 
-_HALF = "k1 bigint, k2 bigint, h bigint, side int, doc_id bigint, tag bigint, unit int"
+_HALF = "k1 bigint, k2 bigint, h bigint, side int, doc_id bigint, tag bigint, unit int, known boolean"
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Half keys of the first occurrence of each line in the batch; ``side`` tells which half is shared."""
+    """Half keys of the first occurrence of each line in the batch; ``side`` tells which half is shared.
+
+    Of the lines on one key in a batch, two go to meet others; the rest are known to have partners.
+    """
     for batch in batches:
-        seen, keys, owners, sides = set(), [], [], []
+        seen, keys, owners, hashes = set(), [], [], []
         for doc, tag, text in in_order(batch):
-            for i, (_, _, unit) in enumerate(lines(text)):
-                words = unit.split(" ")
-                if len(words) < LEAST_WORDS or unit in seen:
+            for i, unit in enumerate(lines(text)):
+                n = unit.count(b" ") + 1
+                if n < LEAST_WORDS or unit in seen:
                     continue
                 seen.add(unit)
-                whole_line = unit.encode()
-                for n in (len(words), len(words) - 1):
-                    half = n // 2
-                    keys.append(f"{n} a {' '.join(words[:half])}".encode())
-                    keys.append(f"{n} b {' '.join(words[len(words) - (n - half):])}".encode())
-                    owners += [(whole_line, doc, tag, i)] * 2
-                    sides += [0, 1]
-        if keys:
-            k, h = digests(keys), digests([o[0] for o in owners])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(h[:, 0]), pa.array(sides, pa.int32()), pa.array([o[1] for o in owners], pa.int64()), pa.array([o[2] for o in owners], pa.int64()), pa.array([o[3] for o in owners], pa.int32())],
-                names=[c.split()[0] for c in _HALF.split(", ")],
-            )
-
-
-_VARIANT = "k1 bigint, k2 bigint, kind int, doc_id bigint, tag bigint, unit int"
+                ends = [len(w) for w in unit.split(b" ")]
+                for k in range(1, n):
+                    ends[k] += ends[k - 1] + 1
+                for m in (n, n - 1):
+                    half = m // 2
+                    keys.append(xxhash.xxh3_128_digest(unit[: ends[half - 1]], seed=2 * m))
+                    keys.append(xxhash.xxh3_128_digest(unit[ends[n - (m - half) - 1] + 1 :], seed=2 * m + 1))
+                owners.append((doc, tag, i))
+                hashes.append(xxhash.xxh3_64_intdigest(unit))
+        if not owners:
+            continue
+        k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        known = turns(k[:, 0], k[:, 1]) > 1
+        four = np.repeat(np.arange(len(owners)), 4)
+        docs, tags, units = (pa.array(c, t).take(pa.array(four)) for c, t in zip(zip(*owners, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True))
+        h = np.array(hashes, np.uint64).view(np.int64)[four]
+        sides = np.tile(np.array([0, 1], np.int32), 2 * len(owners))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.where(known, scattered(k[:, 1]), k[:, 0])), pa.array(k[:, 1]), pa.array(h), pa.array(sides), docs, tags, units, pa.array(known)],
+            names=[c.split()[0] for c in _HALF.split(", ")],
+        )
+
+
+_VARIANT = "k1 bigint, k2 bigint, kind int, doc_id bigint, tag bigint, unit int, known boolean"
 WHOLE, SHORTER, CHANGED = 0, 1, 2
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All keys of the candidate lines of each document; ``_c`` holds twice the line number plus the shared side."""
-    for batch in batches:
-        keys, kinds, docs, tags, units = [], [], [], [], []
-        columns = [batch.column(n).to_pylist() for n in ("doc_id", "tag", "text", "_c")]
-        for doc, tag, text, wanted in zip(*columns, strict=True):
+    """All keys of the candidate lines of each document; ``_c`` holds twice the line number plus the shared side.
+
+    Of the lines of one batch that differ in the same word, the first goes to
+    meet others; the rest are known to be near an earlier one.
+    """
+    for batch in sliced(batches, 1000):
+        keys, kinds, owners = [], [], []
+        rows = zip(*[batch.column(n).to_pylist() for n in ("doc_id", "tag", "text", "_c")], strict=True)
+        for doc, tag, text, wanted in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
             all_lines = lines(text)
             shared: dict[int, set[int]] = {}
             for c in wanted:
                 shared.setdefault(c >> 1, set()).add(c & 1)
-            for i, sides in shared.items():
-                unit = all_lines[i][2]
-                words = unit.split(" ")
+            for i in sorted(shared):
+                words = all_lines[i].split(b" ")
+                n = len(words)
                 places: set[int] = set()
                 # of the halves for either length, the shorter one is shared at least
-                if 0 in sides:
-                    places.update(range((len(words) - 1) // 2, len(words)))
-                if 1 in sides:
-                    places.update(range(len(words) - (len(words) - 1 - (len(words) - 1) // 2)))
-                mine = [(WHOLE, f"- {unit}".encode())]
-                for p in sorted(places):
-                    rest = " ".join(words[:p] + words[p + 1 :])
-                    mine.append((CHANGED, f"{p} {rest}".encode()))
+                if 0 in shared[i]:
+                    places.update(range((n - 1) // 2, n))
+                if 1 in shared[i]:
+                    places.update(range(n - (n - 1 - (n - 1) // 2)))
+                before = len(keys)
+                keys.append(xxhash.xxh3_128_digest(all_lines[i], seed=0))
+                kinds.append(WHOLE)
+                for p in places:
+                    rest = b" ".join(words[:p] + words[p + 1 :])
+                    keys.append(xxhash.xxh3_128_digest(rest, seed=p + 1))
+                    kinds.append(CHANGED)
                     if p - 1 not in places or words[p] != words[p - 1]:
-                        mine.append((SHORTER, f"- {rest}".encode()))
-                kinds += [m[0] for m in mine]
-                keys += [m[1] for m in mine]
-                docs += [doc] * len(mine)
-                tags += [tag] * len(mine)
-                units += [i] * len(mine)
-        if keys:
-            k = digests(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(kinds, pa.int32()), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(units, pa.int32())],
-                names=[c.split()[0] for c in _VARIANT.split(", ")],
-            )
+                        keys.append(xxhash.xxh3_128_digest(rest, seed=0))
+                        kinds.append(SHORTER)
+                owners += [(doc, tag, i)] * (len(keys) - before)
+        if not keys:
+            continue
+        k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        kind = np.array(kinds, np.int32)
+        known = (turns(k[:, 0], k[:, 1], kind) > 0) & (kind == CHANGED)
+        docs, tags, units = zip(*owners, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.where(known, scattered(k[:, 1]), k[:, 0])), pa.array(k[:, 1]), pa.array(kind), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(units, pa.int32()), pa.array(known)],
+            names=[c.split()[0] for c in _VARIANT.split(", ")],
+        )
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, unit`` of lines within one word of an earlier line; for each line, the first occurrence is among them."""
+    """``doc_id, tag, unit`` of lines within one word of an earlier line; for each line, the first occurrence is among them.
+
+    Each of the two key tables is shuffled once; what meets there has been cut down in the batches.
+    """
     texts = tagged(docs)
-    halves = texts.mapInArrow(_halves, _HALF)
-    shared = halves.groupBy("k1", "k2").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k1", "k2")
-    candidates = (
-        halves.join(shared, ["k1", "k2"], "left_semi")
+    meeting = Window.partitionBy("k1", "k2")
+    halves = texts.mapInArrow(_halves, _HALF).withColumn("_two", F.min("h").over(meeting) != F.max("h").over(meeting))
+    candidates = stored(
+        halves.filter("known or _two")
         .groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"))
-        .agg(F.collect_set(F.col("unit") * 2 + F.col("side")).alias("_c"))
+        .agg(F.collect_set(F.col("unit") * 2 + F.col("side")).alias("_c")),
+        "line-candidates",
     )
-    chosen = texts.join(candidates, texts.doc_id.eqNullSafe(candidates._doc) & (texts.tag == candidates._tag))
+    chosen = texts.join(candidates.hint("merge"), texts.doc_id.eqNullSafe(candidates._doc) & (texts.tag == candidates._tag))
     variants = chosen.select("doc_id", "tag", "text", "_c").mapInArrow(_variants, _VARIANT)
     rank = F.struct(F.col("doc_id"), F.col("tag"), F.col("unit"))
-    least = variants.groupBy("k1", "k2").agg(
-        *[F.min(F.when(F.col("kind") == k, rank)).alias(n) for k, n in ((WHOLE, "_whole"), (SHORTER, "_shorter"), (CHANGED, "_changed"))]
-    )
-    least = least.filter(
-        F.col("_changed").isNotNull() | (F.col("_whole").isNotNull() & F.col("_shorter").isNotNull())
-    )
+    least = {k: F.min(F.when(F.col("kind") == k, rank)).over(meeting) for k in (WHOLE, SHORTER, CHANGED)}
     other = (
-        F.when(F.col("kind") == WHOLE, F.col("_shorter"))
-        .when(F.col("kind") == SHORTER, F.col("_whole"))
-        .otherwise(F.col("_changed"))
+        F.when(F.col("kind") == WHOLE, least[SHORTER]).when(F.col("kind") == SHORTER, least[WHOLE]).otherwise(least[CHANGED])
     )
-    return variants.join(least, ["k1", "k2"]).filter(other < rank).select("doc_id", "tag", "unit").distinct()
+    near = variants.withColumn("_other", other).filter(F.col("known") | (F.col("_other") < rank))
+    return stored(near.select("doc_id", "tag", "unit").distinct(), "near-lines")
 
 
 def _kept(schema: T.StructType):
@@ -177,13 +192,13 @@ def _kept(schema: T.StructType):
 def without_copies(docs: DataFrame) -> DataFrame:
     """All rows with ``text`` as it remains and ``n_lines, n_exact, n_near``: lines, and lines taken out."""
     docs = docs.drop(*ADDED)
-    exact = later_copies(docs, lines).withColumn("near", F.lit(False))
+    exact = stored(later_copies(docs, lines), "equal-lines").withColumn("near", F.lit(False))
     gone = exact.unionByName(near_copies(docs).withColumn("near", F.lit(True)))
     lists = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(
         F.collect_list(F.when(~F.col("near"), F.col("unit"))).alias("_exact"),
         F.collect_list(F.when(F.col("near"), F.col("unit"))).alias("_near"),
     )
     marked = docs.withColumn("_own", F.xxhash64(whole()))
-    joined = marked.join(lists, marked.doc_id.eqNullSafe(lists._doc) & (marked._own == lists._tag), "left")
+    joined = marked.join(lists.hint("merge"), marked.doc_id.eqNullSafe(lists._doc) & (marked._own == lists._tag), "left")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in ADDED]])
     return joined.select(*docs.columns, "_exact", "_near").mapInArrow(_kept(schema), schema)

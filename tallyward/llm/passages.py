@@ -36,6 +36,10 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), " ".join(m.group().lower().split())) for m in _UNIT.finditer(text) if m.end() > m.start()]
 
 
+def _units(text: str) -> list[bytes]:
+    return [unit.encode() for _, _, unit in sentences(text)]
+
+
 def cut_spans(text: str, later: set[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
     """Spans of runs of repeated units with enough words; units without words neither end nor start a run."""
     spans: list[tuple[int, int]] = []
@@ -78,7 +82,7 @@ def _removed(least_words: int, schema: T.StructType):
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows with ``text`` as it remains and ``removed``, the spans taken out (code points of the original)."""
     docs = docs.drop("removed")
-    later = later_copies(docs, sentences).groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("_later"))
+    later = later_copies(docs, _units).groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("_later"))
     later = later.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "_later")
     marked = docs.withColumn("_own", F.xxhash64(whole()))
     joined = marked.join(later, marked.doc_id.eqNullSafe(later._doc) & (marked._own == later._tag), "left").select(*docs.columns, "_later")

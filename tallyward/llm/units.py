@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import whole
+from tallyward.llm.shingles import mix
 
-#: Splits a text into (start, stop, normalised unit), the unit empty where it does not count.
-Splitter = Callable[[str], list[tuple[int, int, str]]]
+#: Splits a text into normalised units, empty where a unit does not count.
+Splitter = Callable[[str], list[bytes]]
 
 SEEN = "h1 bigint, h2 bigint, doc_id bigint, tag bigint, unit int, known boolean"
 
@@ -34,6 +35,24 @@ def digests(units: list[bytes]) -> np.ndarray:
     return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
 
+def turns(*columns: np.ndarray) -> np.ndarray:
+    """How many rows before it are equal in all columns."""
+    order = np.lexsort((np.arange(len(columns[0])), *columns))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    starts = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(order)]])))
+    return out
+
+
+def scattered(h: np.ndarray) -> np.ndarray:
+    """Keys for rows that need not meet any other."""
+    return mix(h.view(np.uint64) + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def in_order(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, str]]:
     """Rows of a batch by id, text hash."""
     rows = zip(*[batch.column(n).to_pylist() for n in ("doc_id", "tag", "text")], strict=True)
@@ -45,17 +64,15 @@ def _seen(split: Splitter):
         for batch in batches:
             docs, tags, numbers, units = [], [], [], []
             for doc, tag, text in in_order(batch):
-                for i, (_, _, unit) in enumerate(split(text)):
+                for i, unit in enumerate(split(text)):
                     if unit:
-                        docs.append(doc), tags.append(tag), numbers.append(i), units.append(unit.encode())
+                        docs.append(doc), tags.append(tag), numbers.append(i), units.append(unit)
             if not units:
                 continue
             h = digests(units)
             # the first of equal units in this batch may be the first of all, the others cannot
-            _, first = np.unique(np.ascontiguousarray(h).view("V16").ravel(), return_index=True)
-            known = np.ones(len(h), bool)
-            known[first] = False
-            h1 = np.where(known, np.arange(len(h)) * 0x9E3779B97F4A7C1 + h[:, 1], h[:, 0])
+            known = turns(h[:, 0], h[:, 1]) > 0
+            h1 = np.where(known, scattered(h[:, 1]), h[:, 0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h1), pa.array(h[:, 1]), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(numbers, pa.int32()), pa.array(known)],
                 names=[c.split()[0] for c in SEEN.split(", ")],
