@@ -208,7 +208,7 @@ def match_context(questions: DataFrame, terms: DataFrame, tables: DataFrame) ->
     names; a question without any takes tables named in it and tables whose
     description holds its first word of more than three letters.
     """
-    asked = questions.select("question_id", F.lower("question").alias("_question"))
+    asked = cut(questions.select("question_id", F.lower("question").alias("_question")))
     empty = F.array().cast("array<string>")
     names = terms.select(
         F.col("name").alias("term"),
@@ -224,7 +224,8 @@ def match_context(questions: DataFrame, terms: DataFrame, tables: DataFrame) ->
     tag_texts = tags.select("_tag").distinct()
     tag_terms = contains_join(tag_texts, "_tag", terms.select(F.col("name").alias("term")).distinct(), "term")
     term_tables = tag_terms.join(tags, "_tag").select("term", "table_name").distinct()
-    by_term = question_terms.join(term_tables, "term").select("question_id", "table_name").distinct()
+    # read for the result and for what is left to match, so it is written once
+    by_term = cut(question_terms.join(term_tables, "term").select("question_id", "table_name").distinct())
 
     rest = asked.join(by_term.select("question_id").distinct(), "question_id", "left_anti")
     table_names = tables.select("table_name", F.lower("table_name").alias("_name")).distinct()
@@ -234,8 +235,8 @@ def match_context(questions: DataFrame, terms: DataFrame, tables: DataFrame) ->
         F.filter(F.split("_question", " "), lambda w: F.length(w) > 3), F.lit(1)
     )
     words = rest.select("question_id", first_word.alias("_word")).filter(F.col("_word").isNotNull())
-    tokens = tables.select(
-        "table_name", F.explode(F.array_distinct(F.split(F.lower("description"), " "))).alias("_token")
+    tokens = cut(
+        tables.select("table_name", F.explode(F.array_distinct(F.split(F.lower("description"), " "))).alias("_token"))
     )
     worded = contains_join(
         tokens.select("_token").distinct(), "_token", words.select("_word").distinct(), "_word", 4

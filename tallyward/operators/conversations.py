@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.operators.memory import upsert_latest
-from tallyward.plans.ordered import MAX_GROUP_ROWS, number_rows
+from tallyward.plans.ordered import number_rows
 
 
 def upsert_feedback(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def assemble(
     messages: DataFrame,
     parts: DataFrame,
     feedback: DataFrame | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """Every conversation in reading order, one row per part.
 
@@ -101,7 +101,7 @@ def assemble(
     """
     spoken = messages.join(parts.select("message_id").distinct(), "message_id", "left_semi")
     spoken = spoken.join(chats.select("chat_id", "title"), "chat_id")
-    numbered = number_rows(spoken, "chat_id", ["created_at", "message_id"], "created_at", max_group_rows)
+    numbered = number_rows(spoken, "chat_id", ["created_at", "message_id"], "created_at", split)
     numbered = numbered.withColumnRenamed("seq", "message_no").drop("prev")
     if feedback is not None:
         numbered = numbered.join(feedback.select("message_id", "vote"), "message_id", "left")
@@ -121,10 +121,15 @@ def load_chat(
 def upsert_messages(
     messages: DataFrame, parts: DataFrame, new_messages: DataFrame, new_parts: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Insert absent messages; replace all parts of every message that is written."""
-    fresh = new_messages.dropDuplicates(["message_id"]).join(
-        messages.select("message_id"), "message_id", "left_anti"
-    )
+    """Insert absent messages; replace all parts of every message that is written.
+
+    Of several new rows of one message, the least in order of all columns is
+    written, so a retry writes the same one.
+    """
+    others = [c for c in new_messages.columns if c != "message_id"]
+    row = F.struct(*others)
+    least = new_messages.groupBy("message_id").agg(F.min(row).alias("_row")).select("message_id", "_row.*")
+    fresh = least.join(messages.select("message_id"), "message_id", "left_anti")
     written = new_messages.select("message_id").distinct()
     kept = parts.join(written, "message_id", "left_anti")
     return (

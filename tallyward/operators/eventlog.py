@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import timecols
 from tallyward.functions.literals import text_array
-from tallyward.plans.ordered import MAX_GROUP_ROWS, number_rows
+from tallyward.plans.ordered import number_rows
 
 
 @dataclass(frozen=True)
@@ -112,11 +112,11 @@ def case_timeline(events: DataFrame, key: str, case_id, layout: EventLayout = Ev
 
 
 def case_timelines(
-    events: DataFrame, key: str, layout: EventLayout = EventLayout(), max_group_rows: int = MAX_GROUP_ROWS
+    events: DataFrame, key: str, layout: EventLayout = EventLayout(), split: bool = False
 ) -> DataFrame:
     """Step number and minutes since the previous event for every event of every case."""
     rows = events.filter(F.col(key).isNotNull())
-    numbered = number_rows(rows, key, [layout.ts, layout.id], layout.ts, max_group_rows)
+    numbered = number_rows(rows, key, [layout.ts, layout.id], layout.ts, split)
     gap = timecols.half_up(timecols.minutes_between(F.col(layout.ts), F.col("prev")))
     return numbered.withColumn("minutes_since_previous", gap).withColumnRenamed("seq", "step").drop("prev")
 
@@ -133,50 +133,62 @@ def case_totals(events: DataFrame, key: str, layout: EventLayout = EventLayout()
     return totals.withColumn("total_minutes", minutes)
 
 
-def variants(
-    events: DataFrame,
-    key: str,
-    layout: EventLayout = EventLayout(),
-    shown: int = 10,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Distinct type sequences with the number and share of the cases that follow them.
-
-    Sequences are told apart over their whole length by two order-aware
-    64-bit hashes that combine before the shuffle, so no case is ever
-    gathered in one place; only the first ``shown`` steps are kept as text.
-    """
+def _numbered_cases(events: DataFrame, key: str, layout: EventLayout, split: bool) -> tuple[DataFrame, DataFrame]:
+    """Events with their place in the case, and per case its length and two order-aware hashes."""
     numbered = number_rows(
         events.filter(F.col(key).isNotNull()).select(key, layout.ts, layout.id, layout.type),
         key,
         [layout.ts, layout.id],
         layout.ts,
-        max_group_rows,
+        split,
     )
-    step = F.when(F.col("seq") <= shown, F.struct("seq", F.col(layout.type).alias("type")))
     cases = numbered.groupBy(key).agg(
         F.count("*").alias("steps"),
         F.bit_xor(F.xxhash64("seq", layout.type)).alias("_h1"),
         F.bit_xor(F.xxhash64(layout.type, F.lit("second"), "seq")).alias("_h2"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["type"]), ">").alias("starts_with"),
     )
-    counted = cases.groupBy("starts_with", "steps", "_h1", "_h2").agg(F.count("*").alias("cases"))
-    total = counted.agg(F.sum("cases")).scalar()
-    share = F.round(F.col("cases") * 100.0 / total, 2)
-    return counted.withColumn("share", share.cast("double")).drop("_h1", "_h2")
+    return numbered, cases
+
+
+def _counted_variants(cases: DataFrame, key: str) -> DataFrame:
+    return cases.groupBy("steps", "_h1", "_h2").agg(F.count("*").alias("cases"), F.min(key).alias("variant"))
+
+
+def variants(events: DataFrame, key: str, layout: EventLayout = EventLayout(), split: bool = False) -> DataFrame:
+    """Distinct type sequences with the number and share of the cases that follow them.
+
+    Sequences are told apart over their whole length by two order-aware
+    64-bit hashes that combine before the shuffle, so no case is ever
+    gathered in one place. ``variant`` is the least case of each sequence;
+    ``variant_steps`` gives its steps. The share is taken from a window over
+    the variants, so the events are read once.
+    """
+    _, cases = _numbered_cases(events, key, layout, split)
+    counted = _counted_variants(cases, key)
+    share = F.round(F.col("cases") * 100.0 / F.sum("cases").over(Window.partitionBy()), 2)
+    return counted.select("variant", "steps", "cases", share.cast("double").alias("share"))
+
+
+def variant_steps(events: DataFrame, key: str, layout: EventLayout = EventLayout(), split: bool = False) -> DataFrame:
+    """``variant, step, type``: the whole sequence of every variant, one row per step."""
+    numbered, cases = _numbered_cases(events, key, layout, split)
+    named = _counted_variants(cases, key).select("variant")
+    rows = numbered.join(named, numbered[key] == named["variant"])
+    return rows.select("variant", F.col("seq").alias("step"), F.col(layout.type).alias("type"))
 
 
 def freshness_by_type(
     events: DataFrame, slas: DataFrame, as_of: str, layout: EventLayout = EventLayout(), prefix: Column | None = None
 ) -> DataFrame:
-    """Age of the newest event whose type starts with the capitalised table name.
+    """Age of the newest event up to ``as_of`` whose type starts with the capitalised table name.
 
     ``slas`` has ``table_name, max_delay_minutes, max_delay_hours``. A table
     without an SLA is fresh, one without events is stale. Plural table names
     do not match singular event types; ``prefix`` can give another pattern.
     The events are first reduced to one row per type.
     """
-    newest = events.groupBy(F.col(layout.type).alias("_type")).agg(F.max(layout.ts).alias("_last"))
+    until = events.filter(F.col(layout.ts) <= timecols.at(as_of))
+    newest = until.groupBy(F.col(layout.type).alias("_type")).agg(F.max(layout.ts).alias("_last"))
     capitalised = F.concat(F.upper(F.substring("table_name", 1, 1)), F.expr("substring(table_name, 2)"))
     wanted = capitalised if prefix is None else prefix
     # a type belongs to a table when one of the type's own prefixes is the wanted text
@@ -192,10 +204,11 @@ def freshness_by_type(
 
 
 def freshness(tables: dict[str, tuple[DataFrame, str]], slas: DataFrame, as_of: str) -> DataFrame:
-    """Age of each table by its own time column: ``{table: (frame, time_column)}``."""
+    """Age of each table at ``as_of`` by its own time column: ``{table: (frame, time_column)}``."""
     newest = None
     for name, (frame, column) in tables.items():
-        part = frame.agg(F.max(column).cast("timestamp_ntz").alias("_last")).select(F.lit(name).alias("_table"), "_last")
+        until = frame.filter(F.col(column) <= timecols.at(as_of))
+        part = until.agg(F.max(column).cast("timestamp_ntz").alias("_last")).select(F.lit(name).alias("_table"), "_last")
         newest = part if newest is None else newest.unionByName(part)
     joined = slas.join(newest, F.col("table_name") == F.col("_table"), "left")
     return _judge(joined, F.col("_last"), as_of).drop("_table", "_last")

@@ -11,7 +11,7 @@ from tallyward import fixed
 from tallyward.functions.literals import list_map, lookup, text_map
 from tallyward.functions.textcols import redact_words
 from tallyward.plans.model import Policy
-from tallyward.plans.ordered import MAX_GROUP_ROWS, number_rows
+from tallyward.plans.ordered import number_rows
 
 
 def missing_evidence(
@@ -109,12 +109,12 @@ def original_rows(replays: DataFrame, stored: DataFrame, key: str, columns: list
 
 
 def findings_digest(
-    findings: DataFrame, agent: str | None = None, max_group_rows: int = MAX_GROUP_ROWS
+    findings: DataFrame, agent: str | None = None, split: bool = False
 ) -> DataFrame:
     """Findings of every session numbered in time order, one row each."""
     chosen = findings if agent is None else findings.filter(F.col("agent_id") == agent)
     rows = chosen.filter(F.col("session_id").isNotNull())
-    return number_rows(rows, "session_id", ["created_at", "finding_id"], "created_at", max_group_rows).drop("prev")
+    return number_rows(rows, "session_id", ["created_at", "finding_id"], "created_at", split).drop("prev")
 
 
 def findings_totals(findings: DataFrame) -> DataFrame:
@@ -158,11 +158,15 @@ def audit_decisions(
         "outcome_id", "session_id", "confidence", "created_at",
         F.explode_outer(F.array_distinct("evidence_proposal_ids")).alias("_pid"),
     )
+    # the ledgers are cut to the proposals that the shown outcomes cite before they are combined
+    wanted = cited.select(F.col("_pid").alias("proposal_id")).filter("proposal_id is not null").distinct()
+    approvals = approvals.join(wanted, "proposal_id", "left_semi")
+    actions = actions.join(wanted, "proposal_id", "left_semi")
     said = approvals.groupBy("proposal_id", "approved_by", "approved").agg(F.count("*").alias("_said"))
     done = actions.groupBy("proposal_id", "action_type", F.col("status").alias("action_status")).agg(
         F.count("*").alias("_done")
     )
-    known = proposals.select("proposal_id", "risk_class")
+    known = proposals.join(wanted, "proposal_id", "left_semi").select("proposal_id", "risk_class")
     joined = cited.join(known, F.col("_pid") == F.col("proposal_id"), "left").drop("_pid")
     joined = joined.join(said, "proposal_id", "left").join(done, "proposal_id", "left")
     copies = F.coalesce("_said", F.lit(1)) * F.coalesce("_done", F.lit(1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyward.functions.textcols import keywords
 from tallyward.plans.contains import contains_join
 from tallyward.plans.model import Policy
+from tallyward.session import cut
 
 SHORTEST_WORD = 4
 
@@ -91,13 +92,16 @@ def precedents_bulk(questions: DataFrame, outcomes: DataFrame, n: int = 5) -> Da
 
     Only the newest ``n`` outcomes of each text token can be among the newest
     ``n`` of a word inside it, and the same holds from words to questions, so
-    each step cuts to ``n`` per key before it joins.
+    each step cuts to ``n`` per key before it joins. Spark makes that cut before
+    the shuffle as well while ``n`` is below its limit for ranks per group
+    (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless set). The
+    outcomes are read once; the cut table is written and read twice.
     """
     both = F.lower(F.concat_ws(" ", "question", "decision_summary"))
     tokens = outcomes.select(
         "outcome_id", "created_at", F.explode(F.array_distinct(F.split(both, r"\s+"))).alias("token")
     ).filter(F.length("token") >= SHORTEST_WORD)
-    by_token = _top(tokens, "token", n).drop("_rank")
+    by_token = cut(_top(tokens, "token", n).drop("_rank"))
 
     asked = questions.select("question_id", keywords(F.col("question")).alias("_words"))
     asked = asked.select(

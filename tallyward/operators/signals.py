@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions import timecols
 from tallyward.operators.eventlog import EventLayout
-from tallyward.plans.ordered import MAX_GROUP_ROWS, next_after
+from tallyward.plans.ordered import next_after
 
 MAX_DAYS = 365
 
@@ -24,17 +24,26 @@ def whole_number(name: str, value, most: int | None = None) -> int:
 
 
 def _recent(frame: DataFrame, column: str, as_of: str, days) -> DataFrame:
-    return frame.filter(F.col(column) >= timecols.days_before(as_of, whole_number("days", days, MAX_DAYS)))
+    """Rows of the window, both ends included."""
+    start = timecols.days_before(as_of, whole_number("days", days, MAX_DAYS))
+    return frame.filter((F.col(column) >= start) & (F.col(column) <= timecols.at(as_of)))
 
 
 def event_distribution(
-    events: DataFrame, as_of: str, days: int = 30, layout: EventLayout = EventLayout(), top: int = 20
+    events: DataFrame, as_of: str, days: int = 30, layout: EventLayout = EventLayout(), top: int | None = 20
 ) -> DataFrame:
-    """Events per type with their share of all events in the window."""
+    """Events per type with their share of all events in the window; ``top=None`` keeps every type.
+
+    The total is a window over the rows per type, so the events are read once.
+    """
     counted = _recent(events, layout.ts, as_of, days).groupBy(layout.type).agg(F.count("*").alias("count"))
-    total = counted.agg(F.sum("count")).scalar()
+    total = F.sum("count").over(Window.partitionBy())
     share = F.round((F.col("count") * 100.0 / total).cast("double"), 1)
-    return counted.withColumn("percentage", share).orderBy(F.col("count").desc(), layout.type).limit(top)
+    return _head(counted.withColumn("percentage", share), [F.col("count").desc(), F.col(layout.type)], top)
+
+
+def _head(df: DataFrame, order: list, top: int | None) -> DataFrame:
+    return df if top is None else df.orderBy(*order).limit(top)
 
 
 def failure_rates(
@@ -66,7 +75,7 @@ def step_pairs(
     as_of: str,
     days: int = 30,
     layout: EventLayout = EventLayout(),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """``from_step, to_step, minutes, pairs``: each start with the next event of each target type.
 
@@ -76,9 +85,9 @@ def step_pairs(
     """
     types = sorted(set(from_types) | set(to_types))
     stage = {t: f"t{i}" for i, t in enumerate(types)}
-    cutoff = timecols.days_before(as_of, whole_number("days", days, MAX_DAYS))
     moments = (
-        events.filter(F.col(key).isNotNull() & F.col(layout.type).isin(*types) & (F.col(layout.ts) >= cutoff))
+        _recent(events, layout.ts, as_of, days)
+        .filter(F.col(key).isNotNull() & F.col(layout.type).isin(*types))
         .groupBy(F.col(key).alias("case_id"), timecols.micros(F.col(layout.ts)).alias("us"))
         .agg(*[F.count_if(F.col(layout.type) == t).alias(c) for t, c in stage.items()])
     )
@@ -90,7 +99,7 @@ def step_pairs(
             f"next_{stage[t]}": F.when(F.col(stage[t]) > 0, F.struct(F.col("us"), F.col(stage[t]).alias("n")))
             for t in to_types
         },
-        max_group_rows,
+        split,
     )
     pairs = [
         F.when(
@@ -117,10 +126,10 @@ def step_durations(
     days: int = 30,
     layout: EventLayout = EventLayout(),
     top: int | None = 10,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """Average, least and greatest minutes between process steps, slowest first."""
-    pairs = step_pairs(events, key, from_types, to_types, as_of, days, layout, max_group_rows)
+    pairs = step_pairs(events, key, from_types, to_types, as_of, days, layout, split)
     weighted = F.sum(F.col("minutes") * F.col("pairs")) / F.sum("pairs")
     result = pairs.groupBy("from_step", "to_step").agg(
         F.round(weighted, 1).alias("avg_minutes"),
@@ -143,7 +152,7 @@ def delay_patterns(
     minutes: str,
     as_of: str,
     days: int = 30,
-    top: int = 10,
+    top: int | None = 10,
 ) -> DataFrame:
     """Count and size of delays per reason for facts whose parent exists.
 
@@ -168,19 +177,19 @@ def delay_patterns(
         F.round(F.max("_max"), 1).alias("max_minutes"),
         F.round(F.sum(F.col("_sum") * F.col("_times")), 0).alias("total_minutes"),
     )
-    return result.orderBy(F.col("delay_count").desc(), "reason").limit(top)
+    return _head(result, [F.col("delay_count").desc(), F.col("reason")], top)
 
 
 def status_distribution(
-    frame: DataFrame, status: str, time_column: str, as_of: str, days: int = 30, top: int = 20
+    frame: DataFrame, status: str, time_column: str, as_of: str, days: int = 30, top: int | None = 20
 ) -> DataFrame:
     counted = _recent(frame, time_column, as_of, days).groupBy(status).agg(F.count("*").alias("count"))
-    return counted.orderBy(F.col("count").desc(), status).limit(top)
+    return _head(counted, [F.col("count").desc(), F.col(status)], top)
 
 
-def status_for(frame: DataFrame, status: str, column: str, value=None, top: int = 20) -> DataFrame:
+def status_for(frame: DataFrame, status: str, column: str, value=None, top: int | None = 20) -> DataFrame:
     """Rows per status, optionally of one parent only; no value means no filter."""
     if value is not None:
         frame = frame.filter(F.col(column) == whole_number(column, value))
     counted = frame.groupBy(status).agg(F.count("*").alias("count"))
-    return counted.orderBy(F.col("count").desc(), status).limit(top)
+    return _head(counted, [F.col("count").desc(), F.col(status)], top)

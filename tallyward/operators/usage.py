@@ -32,19 +32,22 @@ def usage(
     ``messages``: message_id, chat_id, role, provider, model_id, created_at.
     ``parts`` carry the token counters and are summed per message before
     anything is joined, so a message is one row afterwards and user messages
-    can be counted plainly. ``prices`` are per million tokens; an unpriced
-    model costs nothing.
+    can be counted plainly; parts of messages outside the window are left out
+    before that. ``prices`` are per million tokens; an unpriced model costs
+    nothing.
     """
-    recent = messages.filter(F.col("created_at") >= timecols.lookback_start(as_of, grain))
+    created = F.col("created_at")
+    recent = messages.filter((created >= timecols.lookback_start(as_of, grain)) & (created <= timecols.at(as_of)))
     if provider is not None:
         recent = recent.filter(F.col("provider") == provider)
     scoped = chats if project is None else chats.filter(F.col("project_id") == project)
-    per_message = parts.groupBy("message_id").agg(
+    recent = recent.join(scoped.select("chat_id"), "chat_id")
+    wanted = parts.join(recent.select("message_id"), "message_id", "left_semi")
+    per_message = wanted.groupBy("message_id").agg(
         *[F.sum(t).alias(t) for t in [*TOKENS, "total"]]
     )
     joined = (
-        recent.join(scoped.select("chat_id"), "chat_id")
-        .join(per_message, "message_id")
+        recent.join(per_message, "message_id")
         .join(prices, ["provider", "model_id"], "left")
     )
     rows = joined.groupBy(timecols.period_label(F.col("created_at"), grain).alias("period")).agg(

@@ -2,9 +2,9 @@
 
 ``text LIKE '%phrase%'`` between two tables would compare every pair. Here
 each phrase is looked up by its last few characters: the texts list their
-distinct pieces of a few fixed lengths, the phrases are joined on the piece
-that ends them, and only those candidates are compared in full. A long phrase
-is looked up by a long, selective piece.
+distinct pieces of those lengths that end a phrase, the phrases are joined on
+the piece that ends them, and only those candidates are compared in full. A
+long phrase is looked up by a long, selective piece.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ def contains_join(
     """
     lengths = tuple(sorted({n for n in PIECE_LENGTHS if n >= shortest} | {shortest}))
     keyed = phrases.withColumn("_piece", _ending(F.col(phrase), lengths)).filter(F.col("_piece").isNotNull())
-    pieces = F.explode(F.concat(*[_pieces(F.col(text), n) for n in lengths])).alias("_piece")
+    # one aggregate over the phrases tells which of the eight lengths are in use; texts give only these
+    used = sorted(r[0] for r in keyed.select(F.length("_piece")).distinct().collect()) or [shortest]
+    pieces = F.explode(F.concat(*[_pieces(F.col(text), n) for n in used])).alias("_piece")
     carried = [F.col(c) for c in (texts.columns if ids is None else ids)]
     candidates = texts.select(*carried, pieces).join(keyed, "_piece").drop("_piece")
     if ids is not None:

@@ -14,7 +14,7 @@ from datetime import datetime
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward import fixed
@@ -27,8 +27,8 @@ Tables = Callable[[str], DataFrame]
 _DATE_TEXT = re.compile(r"\d{4}-\d{2}-\d{2}(T|$)")
 
 
-def open_scope(semantics: Semantics, max_rows: int = fixed.MAX_LIMIT) -> Scope:
-    """A scope that allows every declared table and join."""
+def open_scope(semantics: Semantics, max_rows: int = 0) -> Scope:
+    """A scope that allows every declared table and join, and cuts no rows unless told to."""
     tables = tuple(m.table for m in semantics.models)
     return Scope(Bundle("everything", tables, semantics.links), max_rows)
 
@@ -87,13 +87,12 @@ def measure_column(model: Model, measure: Measure, col: Callable[[Model, str], C
     }[measure.agg](value)
 
 
-def row_limit(limit: int | None, max_rows: int) -> int:
-    ceiling = min(max_rows if max_rows > 0 else fixed.DEFAULT_LIMIT, fixed.MAX_LIMIT)
-    if limit is None:
-        return ceiling
-    if not isinstance(limit, int) or isinstance(limit, bool) or limit <= 0:
+def row_limit(limit: int | None, max_rows: int) -> int | None:
+    """Rows to keep: what the request asks for, at most the ceiling of the scope; None keeps all."""
+    if limit is not None and (not isinstance(limit, int) or isinstance(limit, bool) or limit <= 0):
         raise Refused("invalid_value", f"limit must be a positive whole number, not {limit!r}")
-    return min(limit, ceiling)
+    ceiling = min(max_rows, fixed.MAX_LIMIT) if max_rows > 0 else None
+    return min((x for x in (limit, ceiling) if x is not None), default=None)
 
 
 def _check_range(time_range: tuple[str, str]) -> None:
@@ -149,6 +148,8 @@ def metric_query(
     request: Request,
     scope: Scope | None = None,
     drill_across: bool = False,
+    at_least: tuple[str, int] | None = None,
+    mark_cut: bool = False,
 ) -> DataFrame:
     """Run one metric request.
 
@@ -156,6 +157,11 @@ def metric_query(
     come from several models is refused when it would count parent rows
     repeatedly; with ``drill_across`` each model is aggregated by itself and
     the results are joined on the dimensions.
+
+    All groups are returned unless the request has a limit or the scope a
+    ceiling. ``at_least`` names an output column and the least value a group
+    needs; such groups are dropped before any cut. ``mark_cut`` adds
+    ``rows_cut``, whether there were more groups than are shown.
     """
     scope = scope or open_scope(semantics)
     if not request.measures:
@@ -165,11 +171,58 @@ def metric_query(
         result = _drill_across(tables, semantics, request, scope)
     else:
         result = _aggregate(tables, semantics, request, scope)
-    return mask_pii(_finish(result, request, scope), scope.pii_columns)
+    if at_least is not None:
+        result = result.filter(F.col(at_least[0]) >= at_least[1])
+    return mask_pii(_finish(result, request, scope, mark_cut), scope.pii_columns)
+
+
+def applied(request: Request, scope: Scope) -> dict[str, object]:
+    """The limit and the time window that a result of the request is subject to."""
+    return {"limit": row_limit(request.limit, scope.max_rows), "time_range": request.time_range}
+
+
+def _path(semantics: Semantics, scope: Scope, starts: list[Model], target: Model) -> list[tuple] | None:
+    """The shortest chain of allowed links ``(from, to, link)`` from one of the models to ``target``."""
+    chains: list[list[tuple]] = [[(None, m, None)] for m in starts]
+    seen = {m.name for m in starts}
+    while chains:
+        longer = []
+        for chain in chains:
+            here = chain[-1][1]
+            for other in semantics.models:
+                link = None if other.name in seen else semantics.link(here, other)
+                if link is None or other.table not in scope.bundle.tables:
+                    continue
+                if not any(link.same_as(allowed) for allowed in scope.bundle.links):
+                    continue
+                seen.add(other.name)
+                longer.append([*chain, (here, other, link)])
+                if other.name == target.name:
+                    return longer[-1][1:]
+        chains = longer
+    return None
+
+
+def _matching(tables: Tables, frame: DataFrame, path: list[tuple], tests: list[tuple[str, Filter]]) -> DataFrame:
+    """Rows of ``frame`` that lead along ``path`` to a row which passes all tests."""
+    _, model, link = path[0]
+    there = tables(model.table)
+    if len(path) > 1:
+        there = _matching(tables, there, path[1:], tests)
+    else:
+        there = there.filter(reduce(and_, [filter_test(there[column], spec) for column, spec in tests]))
+    keys = there.select(there[link.right_column].alias("_key"))
+    return frame.join(keys, frame[link.left_column] == keys["_key"], "left_semi")
 
 
-def _aggregate(tables: Tables, semantics: Semantics, request: Request, scope: Scope) -> DataFrame:
-    """Join star, filters, one aggregation and the filters on aggregates; all groups."""
+def _aggregate(
+    tables: Tables, semantics: Semantics, request: Request, scope: Scope, elsewhere: list[Filter] | None = None
+) -> DataFrame:
+    """Join star, filters, one aggregation and the filters on aggregates; all groups.
+
+    Filters in ``elsewhere`` test models outside the star. They keep the rows
+    that lead to a passing row over declared links, or are refused.
+    """
     measures, dimensions, models = _models_of(request, semantics)
     for model in models:
         if model.table not in scope.bundle.tables:
@@ -228,8 +281,24 @@ def _aggregate(tables: Tables, semantics: Semantics, request: Request, scope: Sc
         used[models[0].name].add(link.left_column)
         used[other.name].add(link.right_column)
 
+    remote: dict[str, tuple[list[tuple], list[tuple[str, Filter]]]] = {}
+    for spec in elsewhere or ():
+        owner, field = semantics.split(spec.field)
+        dim = owner.dimension(field)
+        if dim is None:
+            raise Refused("unknown_dimension", f"no field {spec.field!r}")
+        if owner.name not in remote:
+            path = _path(semantics, scope, models, owner)
+            if path is None:
+                raise Refused("disallowed_join", f"no allowed join from {models[0].name} to {owner.name}")
+            remote[owner.name] = (path, [])
+        remote[owner.name][1].append((dim.column, spec))
+
     def source(model: Model) -> DataFrame:
         frame = tables(model.table)
+        for path, tests in remote.values():
+            if path[0][0].name == model.name:
+                frame = _matching(tables, frame, path, tests)
         return frame.select(*[frame[c].alias(_name(model, c)) for c in sorted(used[model.name])])
 
     joined = source(models[0])
@@ -244,8 +313,8 @@ def _aggregate(tables: Tables, semantics: Semantics, request: Request, scope: Sc
     return result.select(*outputs)
 
 
-def _finish(result: DataFrame, request: Request, scope: Scope) -> DataFrame:
-    """Order, then cut to the row ceiling."""
+def _finish(result: DataFrame, request: Request, scope: Scope, mark_cut: bool = False) -> DataFrame:
+    """Order, then cut where a limit or a ceiling is set."""
     keys = []
     for ref, direction in request.order_by:
         selected = zip([*request.dimensions, *request.measures], result.columns)
@@ -256,12 +325,23 @@ def _finish(result: DataFrame, request: Request, scope: Scope) -> DataFrame:
         keys.append(column.asc_nulls_last() if direction == "asc" else column.desc_nulls_first())
     if keys:
         result = result.orderBy(*keys)
-    return result.limit(row_limit(request.limit, scope.max_rows))
+    limit = row_limit(request.limit, scope.max_rows)
+    if limit is None:
+        return result.withColumn("rows_cut", F.lit(False)) if mark_cut else result
+    if not mark_cut:
+        return result.limit(limit)
+    # one row more than shown tells whether there are more; the window sees these few rows only
+    head = result.limit(limit + 1)
+    order = Window.orderBy(*(keys or [F.lit(0)]))
+    numbered = head.select("*", F.row_number().over(order).alias("_n"), F.count("*").over(Window.partitionBy()).alias("_all"))
+    return numbered.filter(F.col("_n") <= limit).select(*result.columns, (F.col("_all") > limit).alias("rows_cut"))
 
 
 def _drill_across(tables: Tables, semantics: Semantics, request: Request, scope: Scope) -> DataFrame:
     """Aggregate each model on the shared dimensions, then join the results.
 
+    Every row filter holds for every part: where its model is not in the
+    part's star, rows are kept that lead to a passing row over declared links.
     Filters on measures are tested after the join, on hidden columns.
     """
     refs: dict[str, list[str]] = {}
@@ -280,14 +360,15 @@ def _drill_across(tables: Tables, semantics: Semantics, request: Request, scope:
     shared = {semantics.dimension(d)[0].name for d in request.dimensions}
     result = None
     for owner, wanted in sorted(refs.items()):
+        here = [f for f in on_rows if semantics.split(f.field)[0].name in shared | {owner}]
         part = Request(
             measures=wanted,
             dimensions=request.dimensions,
-            filters=[f for f in on_rows if semantics.split(f.field)[0].name in shared | {owner}],
+            filters=here,
             time_range=request.time_range,
             time_grain=request.time_grain,
         )
-        frame = _aggregate(tables, semantics, part, scope)
+        frame = _aggregate(tables, semantics, part, scope, [f for f in on_rows if f not in here])
         frame = frame.toDF(*names, *[f"_m_{r}" for r in wanted])
         result = frame if result is None else _join_on_dimensions(result, frame, names)
     tests = [filter_test(F.col(f"`_m_{f.field}`"), f) for f in on_measure]

@@ -1,10 +1,10 @@
 """Ordered work inside groups when one group may be very large.
 
-A window partitioned by a key puts each key into one task. That is the best
-plan while every group is small, so the largest group is counted first. If it
-is too large for one task, the rows are range-partitioned by key and order
-instead, which cuts a large group into many chunks; each chunk is worked on
-by itself and the few values that cross a cut are carried over. Keys that are
+A window partitioned by a key puts each key into one task, sorted and spilled
+to disk as needed. The caller who knows of groups too large for that asks for
+``split``: the rows are range-partitioned by key and order, which cuts a large
+group into many chunks; each chunk is worked on by itself and the few values
+that cross a cut are carried over. Both plans give the same rows. Keys that are
 cut number less than the chunks, so the carried table is bounded by the
 number of partitions and may be broadcast.
 """
@@ -16,16 +16,9 @@ from pyspark.sql import functions as F
 
 from tallyward.session import cut
 
-MAX_GROUP_ROWS = 2_000_000
 CHUNK = "_chunk"
 
 
-def largest_group(df: DataFrame, key: str) -> int:
-    """Rows of the largest group; counted with map-side combine."""
-    row = df.groupBy(key).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
-
-
 def in_chunks(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows cut into evenly sized ordered chunks, numbered in ``_chunk``.
 
@@ -42,14 +35,14 @@ def number_rows(
     key: str,
     order: list[str],
     previous: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """Add ``seq`` (1, 2, ... inside each key) and ``prev`` (``previous`` one row before).
 
     ``order`` must give each row of a key its own place and start with
     ``previous``.
     """
-    if largest_group(df, key) <= max_group_rows:
+    if not split:
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn("seq", F.row_number().over(w).cast("bigint")).withColumn(
             "prev", F.lag(previous).over(w)
@@ -83,7 +76,7 @@ def next_after(
     key: str,
     order: str,
     values: dict[str, Column],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    split: bool = False,
 ) -> DataFrame:
     """For each row and each name in ``values``: the nearest non-null value on a later row.
 
@@ -92,7 +85,7 @@ def next_after(
     in one pass, but one that shrinks towards the end row by row.
     """
     with_values = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
-    if largest_group(df, key) <= max_group_rows:
+    if not split:
         later = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
         nearest = [F.last(f"_v_{n}", ignorenulls=True).over(later).alias(n) for n in values]
         return with_values.select(*df.columns, *nearest)

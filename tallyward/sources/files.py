@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.corpus import path_test
 
+_SCHEME = r"^[a-z0-9]+:/*"
+
 
 def find_files(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] = ()) -> DataFrame:
     """``path, dir, size`` of files that fit ``glob`` at any depth; contents are not read."""
     if glob.startswith("/") or ".." in glob:
         raise ValueError("the pattern must stay inside the folder")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split(":", 1)[-1].rstrip("/")
-    inside = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
+    # scheme and slashes go the same way on both sides, whatever the store
+    base = re.sub(_SCHEME, "/", root).rstrip("/")
+    inside = F.regexp_replace("path", _SCHEME, "/")
     relative = F.expr(f"substring(_full, {len(base) + 1})")
     found = files.select(inside.alias("_full"), F.col("length").alias("size")).select(relative.alias("path"), "size")
     deep = glob if glob.startswith("**/") else f"**/{glob}"

@@ -110,8 +110,8 @@ VIEWS: dict[str, str] = {
                     else 'ghost' end as agent_id,
                case event_type when 'view' then 'low' when 'signup' then 'medium' when 'click' then 'high'
                     when 'purchase' then 'critical' else 'low' end as risk_class,
-               case cast(floor(value) as bigint) % 5 when 0 then 'notify_customer' when 1 then 'send_warning'
-                    when 2 then 'rebook_passenger' when 3 then 'cancel_flight' else 'paint_hangar' end as action_type,
+               case cast(floor(value) as bigint) % 5 when 0 then 'send_note' when 1 then 'raise_flag'
+                    when 2 then 'move_order' when 3 then 'stop_order' else 'paint_shelf' end as action_type,
                case when value > 60 then event_id + 1000000000 else event_id end as evidence_event_id,
                ts as created_at
         from {events}""",
@@ -127,12 +127,12 @@ VIEWS: dict[str, str] = {
         from {events} where value > 50""",
     "v_actions": """
         select event_id as action_id, event_id as proposal_id,
-               case event_type when 'view' then 'notify_customer' else 'escalate' end as action_type,
+               case event_type when 'view' then 'send_note' else 'call_expert' end as action_type,
                case when value > 90 then 'failed' else 'completed' end as status,
                ts + interval '2' hour as created_at
         from {events} where value > 25
         union all
-        select event_id + 500000000 as action_id, event_id as proposal_id, 'escalate' as action_type,
+        select event_id + 500000000 as action_id, event_id as proposal_id, 'call_expert' as action_type,
                'completed' as status, ts + interval '4' hour as created_at
         from {events} where value > 65""",
     "v_outcomes": """
@@ -159,11 +159,11 @@ VIEWS: dict[str, str] = {
                case doc_id % 3 when 0 then 'agent' when 1 then 'bundle' else 'global' end as scope_type,
                case doc_id % 3 when 0 then 'sales' when 1 then 'sales_bundle' else 'global' end as scope_id,
                case doc_id % 5 when 0 then 'candidate' when 1 then 'retired' else 'active' end as status,
-               substr(text, 1, 200) as title, text as summary,
+               text as title, text as summary,
                cast(doc_id % 10 as double) / 10 as confidence, n_chars as created_at
         from {documents}""",
     "v_past": """
-        select doc_id as outcome_id, substr(text, 1, 60) as question, text as decision_summary, n_chars as created_at
+        select doc_id as outcome_id, text as question, text as decision_summary, n_chars as created_at
         from {documents}""",
     "v_questions": """
         select conv_id * 100 + turn as question_id, text as question from {conversations} where role = 'user'
@@ -171,7 +171,7 @@ VIEWS: dict[str, str] = {
         select -1 - conv_id as question_id, 'a b c' as question from {conversations} where role = 'system'""",
     "v_chats": """
         select conv_id as chat_id, 'u' || cast(conv_id % 7 as varchar(20)) as user_id, 'proj' as project_id,
-               min(substr(text, 1, 40)) as title,
+               min(text) as title,
                timestamp '2024-01-30 12:00:00' - cast(conv_id % 40 as int) * interval '1' day as updated_at
         from {conversations} group by conv_id""",
     "v_messages": """
@@ -188,7 +188,10 @@ VIEWS: dict[str, str] = {
                cast(turn as bigint) as input_cache_write,
                cast(length(text) as bigint) as output_total,
                cast(length(text) * 2 as bigint) as total
-        from {conversations}""",
+        from {conversations}
+        union all
+        select conv_id * 100 + turn as message_id, cast(7 as bigint), cast(null as bigint), cast(turn as bigint), cast(1 as bigint), cast(8 as bigint)
+        from {conversations} where turn % 2 = 1""",
     "v_prices": """
         select * from (values ('p1', 'm0', 3.0, 0.3, 3.75, 15.0), ('p1', 'm1', 1.0, 0.1, 1.25, 5.0),
                               ('p2', 'm0', 2.5, 0.25, 0.0, 10.0), ('p2', 'm1', 0.5, 0.05, 0.0, 2.0))
@@ -235,14 +238,14 @@ VIEWS: dict[str, str] = {
     "v_context_terms": """
         select distinct p_name as name, p_brand || ' ' || p_type as synonyms_text from {part}""",
     "v_context_tables": """
-        select 'docs_' || cast(doc_id as varchar(20)) as table_name, substr(text, 1, 120) as description,
+        select 'docs_' || cast(doc_id as varchar(20)) as table_name, text as description,
                case when n_chars % 3 = 0 then 'glossary.small ring' when n_chars % 3 = 1 then 'glossary.red widget' else 'glossary.hot gear' end as tag
         from {documents}""",
     "v_context_questions": """
         select conv_id * 100 + turn as question_id,
-               case when turn = 0 then 'How many small ring items came from ' || substr(text, 1, 30)
-                    when turn = 1 then 'Is docs_17 right about ' || substr(text, 1, 30)
-                    else substr(text, 1, 60) end as question
+               case when turn = 0 then 'How many small ring items came from ' || text
+                    when turn = 1 then 'Is docs_17 right about ' || text
+                    else text end as question
         from {conversations}""",
     # metric requests told from events
     "v_requests": """
@@ -349,6 +352,8 @@ SEMANTICS = Semantics(
                 Dimension("return_flag", "l_returnflag"),
                 Dimension("line_status", "l_linestatus"),
                 Dimension("ship_date", "l_shipdate"),
+                Dimension("order_key", "l_orderkey"),
+                Dimension("part_key", "l_partkey"),
             ),
             measures=(
                 Measure("lines", "l_orderkey", "count"),

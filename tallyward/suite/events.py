@@ -74,8 +74,7 @@ def e03(spark, folder):
 
 @add("e03_case_timelines_split", _TIMELINES)
 def e03_split(spark, folder):
-    # a group limit of one row forces the plan for cases too large for one task
-    rows = eventlog.case_timelines(_events(spark, folder), "user_id", max_group_rows=1)
+    rows = eventlog.case_timelines(_events(spark, folder), "user_id", split=True)
     return rows.select("event_id", "user_id", "event_type", "step", "minutes_since_previous")
 
 
@@ -92,7 +91,7 @@ def e03_totals(spark, folder):
 @add(
     "e04_event_distribution",
     """select event_type, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 1)::double as percentage from events
-       where ts >= timestamp '2024-01-31' - interval '20' day group by 1 order by count desc, event_type limit 20""",
+       where ts between timestamp '2024-01-31' - interval '20' day and timestamp '2024-01-31' group by 1 order by count desc, event_type limit 20""",
 )
 def e04(spark, folder):
     return signals.event_distribution(_events(spark, folder), AS_OF, 20)
@@ -103,7 +102,7 @@ def e04(spark, folder):
     """select count(*) filter (where event_type = 'error') as failures, count(*) filter (where event_type = 'purchase') as successes,
               count(*) filter (where event_type = 'click') as cancellations, count(*) filter (where event_type = 'signup') as total_bookings,
               round(count(*) filter (where event_type = 'error') / count(*) filter (where event_type in ('error', 'purchase'))::double, 4) as failure_rate
-       from events where ts >= timestamp '2024-01-31' - interval '20' day""",
+       from events where ts between timestamp '2024-01-31' - interval '20' day and timestamp '2024-01-31'""",
 )
 def e05(spark, folder):
     kinds = {"failures": "error", "successes": "purchase", "cancellations": "click", "total_bookings": "signup"}
@@ -113,26 +112,69 @@ def e05(spark, folder):
 
 
 _DURATIONS = """
-    with pairs as (
+    with seen as (select * from events where ts between timestamp '{at}' - interval '25' day and timestamp '{at}'), pairs as (
         select a.event_type as from_step, b.event_type as to_step, a.user_id, a.ts as t1, b.ts as t2
-        from events a join events b on a.user_id = b.user_id and b.ts > a.ts
+        from seen a join seen b on a.user_id = b.user_id and b.ts > a.ts
         where a.event_type in ('signup', 'view', 'click') and b.event_type in ('view', 'click', 'purchase')
-          and a.ts >= timestamp '2024-01-31' - interval '25' day
-          and not exists (select 1 from events c where c.user_id = a.user_id and c.event_type = b.event_type and c.ts > a.ts and c.ts < b.ts))
+          and not exists (select 1 from seen c where c.user_id = a.user_id and c.event_type = b.event_type and c.ts > a.ts and c.ts < b.ts))
     select from_step, to_step, round(avg((epoch_us(t2) - epoch_us(t1)) / 60000000.0), 1) as avg_minutes,
            round(min((epoch_us(t2) - epoch_us(t1)) / 60000000.0), 1) as min_minutes,
            round(max((epoch_us(t2) - epoch_us(t1)) / 60000000.0), 1) as max_minutes, count(*) as sample_size
     from pairs group by 1, 2 order by avg_minutes desc, from_step, to_step limit 10"""
 
 
-@add("e06_step_durations", _DURATIONS)
+@add("e06_step_durations", _DURATIONS.format(at="2024-01-31"))
 def e06(spark, folder):
     return signals.step_durations(_events(spark, folder), "user_id", FROM, TO, AS_OF, 25)
 
 
-@add("e06_step_durations_split", _DURATIONS)
+@add("e06_step_durations_split", _DURATIONS.format(at="2024-01-31"))
 def e06_split(spark, folder):
-    return signals.step_durations(_events(spark, folder), "user_id", FROM, TO, AS_OF, 25, max_group_rows=1)
+    return signals.step_durations(_events(spark, folder), "user_id", FROM, TO, AS_OF, 25, split=True)
+
+
+@add("e06_step_durations_midway", _DURATIONS.format(at="2024-01-10"))
+def e06_midway(spark, folder):
+    return signals.step_durations(_events(spark, folder), "user_id", FROM, TO, "2024-01-10", 25)
+
+
+@add(
+    "e04_event_distribution_midway",
+    """select event_type, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 1)::double as percentage from events
+       where ts between timestamp '2024-01-03' and timestamp '2024-01-10' group by 1""",
+)
+def e04_midway(spark, folder):
+    return signals.event_distribution(_events(spark, folder), "2024-01-10", 7, top=None)
+
+
+@add(
+    "e05_failure_rates_midway",
+    """select count(*) filter (where event_type = 'error') as failures from events
+       where ts between timestamp '2024-01-03' and timestamp '2024-01-10'""",
+)
+def e05_midway(spark, folder):
+    return signals.failure_rates(_events(spark, folder), "2024-01-10", {"failures": "error"}, days=7)
+
+
+@add(
+    "e08_status_distribution_midway",
+    """select o_orderstatus, count(*) as count from orders where o_orderdate between timestamp '1997-01-01' - interval '365' day and timestamp '1997-01-01'
+       group by 1""",
+)
+def e08_midway(spark, folder):
+    orders = load(spark, folder, "orders")
+    return signals.status_distribution(orders, "o_orderstatus", "o_orderdate", "1997-01-01", 365, top=None)
+
+
+@add(
+    "e11_freshness_midway",
+    """select 'orders' as table_name, 100::bigint as max_delay_minutes, null::bigint as max_delay_hours, 100::bigint as max_minutes, age as age_minutes, age <= 100 as fresh
+       from (select cast(floor((epoch_us(timestamp '1997-01-01 12:00:00') - epoch_us(max(o_orderdate))) / 60000000.0 + 0.5) as bigint) as age
+             from orders where o_orderdate <= timestamp '1997-01-01 12:00:00')""",
+)
+def e11_midway(spark, folder):
+    slas = spark.createDataFrame([("orders", 100, None)], "table_name string, max_delay_minutes bigint, max_delay_hours bigint")
+    return eventlog.freshness({"orders": (load(spark, folder, "orders"), "o_orderdate")}, slas, "1997-01-01 12:00:00")
 
 
 @add(
@@ -140,7 +182,7 @@ def e06_split(spark, folder):
     """select l_returnflag as reason, count(*) as delay_count, round(avg(l_quantity), 1) as avg_minutes,
               round(max(l_quantity), 1) as max_minutes, round(sum(l_quantity), 0) as total_minutes
        from lineitem join orders on l_orderkey = o_orderkey
-       where l_shipdate >= timestamp '2000-12-31' - interval '365' day group by 1 order by delay_count desc, reason limit 10""",
+       where l_shipdate between timestamp '2000-12-31' - interval '365' day and timestamp '2000-12-31' group by 1 order by delay_count desc, reason limit 10""",
 )
 def e07(spark, folder):
     return signals.delay_patterns(
@@ -158,7 +200,7 @@ def e07(spark, folder):
 
 @add(
     "e08_status_distribution",
-    """select o_orderstatus, count(*) as count from orders where o_orderdate >= timestamp '2001-08-01' - interval '365' day
+    """select o_orderstatus, count(*) as count from orders where o_orderdate between timestamp '2001-08-01' - interval '365' day and timestamp '2001-08-01'
        group by 1 order by count desc, o_orderstatus limit 20""",
 )
 def e08(spark, folder):
@@ -177,24 +219,36 @@ def e09(spark, folder):
     return one.select(F.lit("one").alias("asked"), "*").unionByName(every.select(F.lit("all").alias("asked"), "*"))
 
 
-_VARIANTS = """
-    with numbered as (select {key} as k, event_type, row_number() over (partition by {key} order by ts, event_id) as n from events where {key} is not null),
-         cases as (select k, count(*) as steps, string_agg(event_type, '>' order by n) as whole,
-                          string_agg(event_type, '>' order by n) filter (where n <= 4) as starts_with from numbered group by 1),
-         grouped as (select starts_with, steps, whole, count(*) as cases from cases group by 1, 2, 3)
-    select starts_with, steps, cases, round(cases * 100.0 / (select count(*) from cases), 2)::double as share from grouped"""
+_CASES = """
+    numbered as (select {key} as k, event_type, row_number() over (partition by {key} order by ts, event_id) as n from events where {key} is not null),
+    cases as (select k, count(*) as steps, string_agg(event_type, '>' order by n) as whole from numbered group by 1),
+    grouped as (select min(k) as variant, steps, count(*) as cases from cases group by steps, whole)"""
+_VARIANTS = f"""with {_CASES} select variant, steps, cases, round(cases * 100.0 / (select count(*) from cases), 2)::double as share from grouped"""
+_STEPS = f"""with {_CASES} select variant, n as step, event_type as type from grouped join numbered on k = variant"""
 
 
 @add("e10_variants", _VARIANTS.format(key="user_id"))
 def e10(spark, folder):
-    return eventlog.variants(_events(spark, folder), "user_id", shown=4)
+    return eventlog.variants(_events(spark, folder), "user_id")
+
+
+@add("e10_variant_steps", _STEPS.format(key="user_id"))
+def e10_steps(spark, folder):
+    return eventlog.variant_steps(_events(spark, folder), "user_id")
+
+
+def _hourly(spark, folder):
+    return _events(spark, folder).withColumn("hour", F.date_trunc("hour", "ts"))
 
 
 @add("e10_variants_by_hour", _VARIANTS.format(key="date_trunc('hour', ts)"))
 def e10_hours(spark, folder):
-    layout = EventLayout(keys=(CaseKey("hour", "string"),))
-    hourly = _events(spark, folder).withColumn("hour", F.date_trunc("hour", "ts"))
-    return eventlog.variants(hourly, "hour", layout, shown=4, max_group_rows=1)
+    return eventlog.variants(_hourly(spark, folder), "hour", EventLayout(keys=(CaseKey("hour", "string"),)), split=True)
+
+
+@add("e10_variant_steps_by_hour", _STEPS.format(key="date_trunc('hour', ts)"))
+def e10_hour_steps(spark, folder):
+    return eventlog.variant_steps(_hourly(spark, folder), "hour", EventLayout(keys=(CaseKey("hour", "string"),)))
 
 
 def _slas(spark, folder):
@@ -217,7 +271,7 @@ def _slas(spark, folder):
           slas as (select regexp_replace(event_type, 'e?w?s?$', '') as table_name, case when event_type <> 'click' then n * 5 end as max_delay_minutes,
                           case when event_type = 'view' then 30 end as max_delay_hours from kinds
                    union all select 'Zebras', 9, null),
-          aged as (select s.*, max(ts) as last from slas s left join (select event_type, max(ts) as ts from events group by 1) e
+          aged as (select s.*, max(ts) as last from slas s left join (select event_type, max(ts) as ts from events where ts <= timestamp '2024-01-31' group by 1) e
                      on upper(substr(e.event_type, 1, 1)) || substr(e.event_type, 2) like upper(substr(table_name, 1, 1)) || substr(table_name, 2) || '%' group by 1, 2, 3),
           judged as (select *, case when max_delay_minutes is not null or max_delay_hours is not null then coalesce(max_delay_minutes, coalesce(max_delay_hours, 24) * 60) end as max_minutes,
                        cast(floor((epoch_us(timestamp '2024-01-31') - epoch_us(last)) / 60000000.0 + 0.5) as bigint) as age from aged)
@@ -231,7 +285,7 @@ def e11(spark, folder):
 
 @add(
     "e11_freshness_own_time",
-    """with t as (select 'orders' as table_name, max(o_orderdate) as last from orders union all select 'lineitem', max(l_shipdate) from lineitem),
+    """with t as (select 'orders' as table_name, max(o_orderdate) as last from orders where o_orderdate <= timestamp '2001-12-01' union all select 'lineitem', max(l_shipdate) from lineitem where l_shipdate <= timestamp '2001-12-01'),
             s(table_name, max_delay_minutes, max_delay_hours) as (values ('orders', 100000, null), ('lineitem', null, 1), ('events', 5, null), ('part', null, null)),
             j as (select s.*, case when s.max_delay_minutes is not null or s.max_delay_hours is not null then coalesce(s.max_delay_minutes, s.max_delay_hours * 60) end as max_minutes,
                     cast(floor((epoch_us(timestamp '2001-12-01') - epoch_us(last)) / 60000000.0 + 0.5) as bigint) as age from s left join t using (table_name))

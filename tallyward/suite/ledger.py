@@ -13,10 +13,10 @@ SUITE = Suite()
 add = SUITE.add
 
 RISKS = {
-    "notify_customer": "low",
-    "send_warning": "medium",
-    "rebook_passenger": "high",
-    "cancel_flight": "critical",
+    "send_note": "low",
+    "raise_flag": "medium",
+    "move_order": "high",
+    "stop_order": "critical",
 }
 APPROVALS = {"low": "auto", "medium": "auto", "high": "human_required", "critical": "senior_required"}
 PERMISSIONS = {
@@ -51,7 +51,7 @@ def d01(spark, folder):
     "d02_classify_actions",
     """select action_type, risk_class, case risk_class when 'low' then 'auto' when 'medium' then 'auto' when 'high' then 'human_required' else 'senior_required' end as approval,
               count(*) as actions
-       from (select action_type, case action_type when 'notify_customer' then 'low' when 'send_warning' then 'medium' when 'cancel_flight' then 'critical' else 'high' end as risk_class
+       from (select action_type, case action_type when 'send_note' then 'low' when 'raise_flag' then 'medium' when 'stop_order' then 'critical' else 'high' end as risk_class
              from v_proposals) group by 1, 2, 3""",
     ("v_proposals",),
 )
@@ -184,7 +184,7 @@ def d06(spark, folder):
     ("v_findings",),
 )
 def d06_agent(spark, folder):
-    digest = ledger.findings_digest(view(spark, folder, "v_findings"), "sales", max_group_rows=1)
+    digest = ledger.findings_digest(view(spark, folder, "v_findings"), "sales", split=True)
     return digest.select("session_id", "finding_id", "seq")
 
 

@@ -339,6 +339,35 @@ def m18(spark, folder):
     return ask(spark, folder, request, drill_across=True)
 
 
+@add(
+    "m18_filter_on_one_part",
+    """with a as (select l_returnflag as return_flag, count(l_orderkey) as lines from lineitem
+                   where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'O') group by 1),
+            b as (select l_returnflag as return_flag, count(o_orderkey) as total_orders
+                  from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus = 'O' group by 1)
+       select coalesce(a.return_flag, b.return_flag) as return_flag, total_orders, lines from a full join b on a.return_flag = b.return_flag""",
+)
+def m18_own_filter(spark, folder):
+    request = Request(
+        ["orders.total_orders", "lines.lines"], ["lines.return_flag"], [Filter("orders.status", "=", "O")]
+    )
+    return ask(spark, folder, request, drill_across=True)
+
+
+@add(
+    "m18_filter_on_third_model",
+    """with wanted as (select o_orderkey from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'),
+            a as (select l_returnflag as return_flag, count(l_orderkey) as lines from lineitem where l_orderkey in (select o_orderkey from wanted) group by 1),
+            b as (select l_returnflag as return_flag, count(o_orderkey) as total_orders from lineitem join wanted on l_orderkey = o_orderkey group by 1)
+       select coalesce(a.return_flag, b.return_flag) as return_flag, total_orders, lines from a full join b on a.return_flag = b.return_flag""",
+)
+def m18_third_model(spark, folder):
+    request = Request(
+        ["orders.total_orders", "lines.lines"], ["lines.return_flag"], [Filter("customers.segment", "=", "BUILDING")]
+    )
+    return ask(spark, folder, request, drill_across=True)
+
+
 @add(
     "m19_order_by",
     """with g as (select o_orderpriority as priority, o_orderstatus as status, count(o_orderkey) as total_orders from v_nulls group by 1, 2)
@@ -512,5 +541,29 @@ def m25_new(spark, folder):
        group by 1, 2 having count(c_custkey) >= 12""",
 )
 def m26(spark, folder):
-    result = ask(spark, folder, Request(["customers.customer_count"], ["customers.nation", "customers.segment"]))
-    return questions.suppress_small(result, 12, "customer_count")
+    request = Request(["customers.customer_count"], ["customers.nation", "customers.segment"])
+    return ask(spark, folder, request, at_least=("customer_count", 12))
+
+
+@add(
+    "m26_suppress_before_cut",
+    """select *, true as rows_cut from (select c_nationkey as nation, c_mktsegment as segment, count(c_custkey) as customer_count from customer
+       group by 1, 2 having count(c_custkey) >= 2) order by nation, segment limit 5""",
+)
+def m26_cut(spark, folder):
+    request = Request(
+        ["customers.customer_count"],
+        ["customers.nation", "customers.segment"],
+        order_by=[("nation", "asc"), ("segment", "asc")],
+        limit=5,
+    )
+    return ask(spark, folder, request, at_least=("customer_count", 2), mark_cut=True)
+
+
+@add(
+    "m07_every_group",
+    "select l_orderkey as order_key, l_partkey as part_key, count(l_orderkey) as lines from lineitem group by 1, 2",
+)
+def m07_every_group(spark, folder):
+    """More groups than any ceiling: none is cut unless asked."""
+    return ask(spark, folder, Request(["lines.lines"], ["lines.order_key", "lines.part_key"]))

@@ -34,7 +34,7 @@ def _usage_sql(fmt, since, extra=""):
                round(sum((coalesce(input_no_cache, 0) * coalesce(price_no_cache, 0) + coalesce(input_cache_read, 0) * coalesce(price_cache_read, 0)
                         + coalesce(input_cache_write, 0) * coalesce(price_cache_write, 0) + coalesce(output_total, 0) * coalesce(price_output, 0)) / 1000000.0)::double, 8) as total_cost
         from v_messages join v_chats using (chat_id) join v_parts using (message_id) left join v_prices using (provider, model_id)
-        where created_at >= timestamp '2024-01-31' - interval '{since}' {extra} group by 1"""
+        where created_at between timestamp '2024-01-31' - interval '{since}' and timestamp '2024-01-31' {extra} group by 1"""
 
 
 @add("u01_usage_by_day", _usage_sql("%Y-%m-%d", "30 days"), _VIEWS)

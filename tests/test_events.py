@@ -41,12 +41,12 @@ def pairs_by_hand(data, starts, targets, since):
     return found
 
 
-@pytest.mark.parametrize("most", [10**9, 5])
-def test_step_durations_equal_the_literal_pairs(spark, tied, most):
+@pytest.mark.parametrize("split", [False, True])
+def test_step_durations_equal_the_literal_pairs(spark, tied, split):
     as_of = "2024-01-31 01:00:00"
     since = 60
     events = log(spark, tied)
-    got = signals.step_durations(events, "user_id", ["a", "b"], ["b", "c"], as_of, 30, top=None, max_group_rows=most)
+    got = signals.step_durations(events, "user_id", ["a", "b"], ["b", "c"], as_of, 30, top=None, split=split)
     by_hand = {}
     for start, target, minutes in pairs_by_hand(tied, "ab", "bc", since):
         by_hand.setdefault((start, target), []).append(minutes)
@@ -59,9 +59,9 @@ def test_step_durations_equal_the_literal_pairs(spark, tied, most):
         assert (r["min_minutes"], r["max_minutes"]) == (min(values), max(values))
 
 
-@pytest.mark.parametrize("most", [10**9, 5])
-def test_timelines_number_every_row(spark, tied, most):
-    got = eventlog.case_timelines(log(spark, tied), "user_id", LAYOUT, max_group_rows=most).collect()
+@pytest.mark.parametrize("split", [False, True])
+def test_timelines_number_every_row(spark, tied, split):
+    got = eventlog.case_timelines(log(spark, tied), "user_id", LAYOUT, split=split).collect()
     cases = {}
     for i, (u, m, _) in enumerate(tied):
         if u is not None:
@@ -75,16 +75,19 @@ def test_timelines_number_every_row(spark, tied, most):
     assert {r["event_id"]: (r["step"], r["minutes_since_previous"]) for r in got} == expected
 
 
-@pytest.mark.parametrize("most", [10**9, 5])
-def test_variants_tell_long_cases_apart(spark, most):
+@pytest.mark.parametrize("split", [False, True])
+def test_variants_tell_long_cases_apart(spark, split):
     """Two long cases that differ only at the end are two variants."""
     data = [(u, m, "a") for u in (1, 2, 3) for m in range(30)] + [(1, 40, "b"), (2, 40, "c"), (3, 40, "b"), (9, 1, "a")]
-    got = eventlog.variants(log(spark, data), "user_id", LAYOUT, shown=3, max_group_rows=most).collect()
-    assert sorted((r["starts_with"], r["steps"], r["cases"], r["share"]) for r in got) == [
-        ("a", 1, 1, 25.0),
-        ("a>a>a", 31, 1, 25.0),
-        ("a>a>a", 31, 2, 50.0),
+    got = eventlog.variants(log(spark, data), "user_id", LAYOUT, split=split).collect()
+    assert sorted((r["variant"], r["steps"], r["cases"], r["share"]) for r in got) == [
+        (1, 31, 2, 50.0),
+        (2, 31, 1, 25.0),
+        (9, 1, 1, 25.0),
     ]
+    steps = eventlog.variant_steps(log(spark, data), "user_id", LAYOUT, split=split)
+    whole = steps.filter("variant = 2").orderBy("step").collect()
+    assert [r["type"] for r in whole] == ["a"] * 30 + ["c"]
 
 
 def test_case_timeline_keeps_the_first_events(spark, rows):

@@ -114,7 +114,9 @@ def test_null_order(tables):
 def test_limits():
     assert row_limit(None, 500) == 500
     assert row_limit(1_000_000, 500) == 500
-    assert row_limit(None, 0) == 1000
+    assert row_limit(None, 0) is None
+    assert row_limit(None, 10**9) == 50_000
+    assert row_limit(70_000, 0) == 70_000
     assert row_limit(7, 10**9) == 7
     for bad in (0, -1, 2.5, True):
         assert code(lambda: row_limit(bad, 500)) == "invalid_value"
@@ -233,3 +235,23 @@ def test_ref_suggestions(spark):
         "n": ("ambiguous_ref", None),
         "sales.n": ("ok", None),
     }
+
+
+def test_drill_across_filters_hold_for_every_part(tables, rows):
+    """A filter on one part's model keeps the other part's rows that lead to a passing row."""
+    request = Request(["sales.n", "visits.visits"], ["visits.place"], [Filter("sales.shop", "=", "a")])
+    assert rows(metric_query(tables, SHOP, request, drill_across=True)) == [("a", 4, 2)]
+
+
+def test_drill_across_refuses_a_filter_it_cannot_apply(tables):
+    apart = Semantics((*SHOP.models, Model("weather", "weather", (Dimension("sky", "sky"),), ())), SHOP.links)
+    request = Request(["sales.n", "visits.visits"], ["visits.place"], [Filter("weather.sky", "=", "grey")])
+    assert code(lambda: metric_query(tables, apart, request, drill_across=True)) == "disallowed_join"
+
+
+def test_small_groups_go_before_the_cut(tables, rows):
+    request = Request(["sales.n"], ["sales.shop"], order_by=[("sales.n", "asc")], limit=1)
+    got = metric_query(tables, SHOP, request, at_least=("n", 2), mark_cut=True)
+    assert rows(got) == [("a", 2, False)]
+    assert rows(metric_query(tables, SHOP, request, mark_cut=True))[0][-1] is True
+    assert metric_query(tables, SHOP, Request(["sales.n"], ["sales.shop"]), mark_cut=True).count() == 3
