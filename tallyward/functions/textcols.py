@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import or_
@@ -17,6 +18,26 @@ def sql_tables(lowered: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(lowered, F.lit(fixed.TABLE_PATTERN), F.lit(1)))
 
 
+def identifiers(lowered: Column) -> Column:
+    """The distinct words of lower-cased text that could be names."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
+def names_in(words: Column, lowered: Column, names: list[str]) -> Column:
+    """Those of ``names`` (lower case) that occur as whole words.
+
+    The words of a text are taken once and intersected with all plain names,
+    whatever their number; only names with other characters are searched for.
+    """
+    plain = sorted({n for n in names if re.fullmatch("[a-z0-9_]+", n)})
+    odd = sorted(set(names) - set(plain))
+    found = F.array_intersect(words, F.from_json(F.lit(json.dumps(plain)), "array<string>"))
+    if not odd:
+        return found
+    hits = [F.when(lowered.rlike(word_pattern([n])), F.lit(n)) for n in odd]
+    return F.concat(found, F.array_compact(F.array(*hits)))
+
+
 def sql_select_list(lowered: Column) -> Column:
     """The text between the first SELECT and its FROM; empty if there is none."""
     return F.regexp_extract(lowered, fixed.SELECT_LIST_PATTERN, 1)

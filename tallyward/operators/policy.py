@@ -7,6 +7,8 @@ literals; judging a log is one projection without any shuffle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,16 +108,23 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
     lowered = F.lower(sql)
     star = lowered.rlike(fixed.SELECT_STAR_PATTERN)
     bare_tables = F.transform(parsed["tables"], lambda t: F.regexp_replace(t, r"^public\.", ""))
-    personal = [
-        F.when(
-            lowered.rlike(textcols.word_pattern([column.lower()]))
-            | (star & F.array_contains(bare_tables, table.lower())),
-            _violation("pii_check", F.lit(table), F.lit(column)),
-        )
+    listed = [
+        {"t": table, "c": column, "lt": table.lower(), "lc": column.lower()}
         for table, columns in sorted(policy.pii.items())
         for column in sorted(columns)
     ]
-    pii_hits = F.array_compact(F.array(*personal)) if personal else none
+    named = textcols.names_in(textcols.identifiers(lowered), lowered, [p["lc"] for p in listed])
+    personal = F.from_json(F.lit(json.dumps(listed)), "array<struct<t:string,c:string,lt:string,lc:string>>")
+
+    def blocked(names: Column) -> Column:
+        hit = F.filter(
+            personal,
+            lambda p: F.array_contains(names, p["lc"]) | (star & F.array_contains(bare_tables, p["lt"])),
+        )
+        return F.transform(hit, lambda p: _violation("pii_check", p["t"], p["c"]))
+
+    # most queries name no personal column and end here
+    pii_hits = F.when((F.size(named) > 0) | star, blocked(named)).otherwise(none) if listed else none
 
     count, top = parsed["statement_count"], F.lit(policy.max_rows)
     found = {
@@ -160,6 +169,26 @@ def evaluate(log: DataFrame, policy: Policy, strict: bool = False) -> DataFrame:
     )
 
 
+def personal_columns_used(log: DataFrame, personal: DataFrame) -> DataFrame:
+    """``query_id, table_name, column_name`` of a log against a table of personal columns.
+
+    ``personal`` (table_name, column_name) may be of any size, for instance
+    what ``pii_columns`` finds in a catalog: the distinct words of each query
+    are joined with it, and the queried tables where a query selects ``*``.
+    """
+    text = F.lower(F.coalesce("sql_text", F.lit("")))
+    words = log.select("query_id", text.alias("_text")).select("query_id", "_text", textcols.identifiers(F.col("_text")).alias("_words"))
+    keyed = personal.select("table_name", "column_name").distinct()
+    named = words.select("query_id", F.explode("_words").alias("_word")).join(
+        keyed.withColumn("_word", F.lower("column_name")), "_word"
+    )
+    bare = F.transform(textcols.sql_tables(F.col("_text")), lambda t: F.regexp_replace(t, r"^public\.", ""))
+    starred = words.filter(F.col("_text").rlike(fixed.SELECT_STAR_PATTERN)).select("query_id", F.explode(F.array_distinct(bare)).alias("_table"))
+    whole = starred.join(keyed.withColumn("_table", F.lower("table_name")), "_table")
+    columns = ["query_id", "table_name", "column_name"]
+    return named.select(*columns).unionByName(whole.select(*columns)).distinct()
+
+
 def violation_rows(evaluated: DataFrame) -> DataFrame:
     """``query_id, check, detail``: one row per failed check."""
     return evaluated.select("query_id", F.inline("violations"))

@@ -7,7 +7,7 @@ table of answers is checked in one projection.
 
 from __future__ import annotations
 
-import re
+import json
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -88,10 +88,9 @@ PASS, FAIL, SKIP, MANUAL = "pass", "fail", "not_applicable", "manual"
 
 def _identifier_hits(lowered_sql: Column, names: list[str]) -> Column:
     lowered = F.coalesce(lowered_sql, F.lit(""))
-    hits = [
-        F.when(lowered.rlike(rf"(^|[^a-z0-9_]){re.escape(n.lower())}([^a-z0-9_]|$)"), F.lit(n)) for n in names
-    ]
-    return F.array_compact(F.array(*hits))
+    found = textcols.names_in(textcols.identifiers(lowered), lowered, [n.lower() for n in names])
+    listed = F.from_json(F.lit(json.dumps([{"n": n, "l": n.lower()} for n in names])), "array<struct<n:string,l:string>>")
+    return F.transform(F.filter(listed, lambda p: F.array_contains(found, p["l"])), lambda p: p["n"])
 
 
 def rule_status(rule: Rule, sql: Column, text: Column, pii_names: list[str]) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyward.functions import textcols
 from tallyward.operators import masking, policy
+from tallyward.plans.model import Policy
 from tallyward.sources.tables import load
 from tallyward.suite.common import POLICY, POLICY_NEXT, TABLES, Suite, view
 
@@ -195,6 +197,42 @@ _check("p12_pii", "pii_check")
 _check("p13_limits", "limit_check", "limit_value")
 
 
+@add(
+    "p12_pii_from_catalog",
+    r"""with words as (select distinct unnest(regexp_extract_all(lower(sql_text), '[a-z0-9_]+')) as column_name from v_query_log),
+            personal as (select case left(column_name, 2) when 'c_' then 'Customer' else 'supplier' end as table_name, column_name
+                         from words where left(column_name, 2) in ('c_', 's_')),
+            used as (select query_id, unnest(regexp_extract_all(lower(sql_text), '[a-z0-9_]+')) as word from v_query_log)
+       select query_id, table_name, column_name from used join personal on word = column_name
+       union select query_id, table_name, column_name from v_query_log join personal
+           on sql_text like 'SELECT *%' and lower(sql_text) like '%from ' || lower(table_name) || '%'""",
+    ("v_query_log",),
+)
+def p12_catalog(spark, folder):
+    """The catalog lists every column that a query names; some carry a personal tag."""
+    log = _log(spark, folder)
+    names = log.select(F.explode(textcols.identifiers(F.lower("sql_text"))).alias("column_name")).distinct()
+    head = F.left("column_name", F.lit(2))
+    catalog = names.select(
+        F.when(head == "c_", "Customer").otherwise("supplier").alias("table_name"),
+        "column_name",
+        F.array(F.when(head.isin("c_", "s_"), "PII.High").otherwise("General")).alias("tags"),
+    )
+    return policy.personal_columns_used(log, masking.pii_columns(catalog))
+
+
+@add(
+    "p12_thousand_columns",
+    """select query_id, 'PII column wide.c_name is blocked' as detail from v_query_log where sql_text like '%c_name%'
+       union all select query_id, 'PII column wide.col_7 is blocked' from v_query_log where sql_text like '%col_7%'""",
+    ("v_query_log",),
+)
+def p12_thousand(spark, folder):
+    many = Policy(POLICY.agents, POLICY.bundles, {"wide": ("c_name", *(f"col_{i}" for i in range(1000)))})
+    rows = policy.violation_rows(policy.evaluate(_log(spark, folder), many))
+    return rows.filter(F.col("check") == "pii_check").select("query_id", "detail")
+
+
 @add(
     "p14_verdict",
     f"""with {_FACTS}, ranked as (select distinct query_id, p, check_name, detail from v),
