@@ -327,17 +327,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("v", "start", "n")).alias("_runs"))
     )
     segments = (
-        texts.join(wanted, texts.doc_id.eqNullSafe(wanted._doc) & (texts.tag == wanted._tag))
+        texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted._doc) & (texts.tag == wanted._tag))
         .dropDuplicates(["doc_id", "tag"])
         .select("doc_id", "tag", "text", "_runs")
         .mapInArrow(_segments, _SEGMENT)
     )
-    sorted_out = segments.repartition("v").sortWithinPartitions("v").mapInArrow(_sorted, _GONE)
+    sorted_out = stored(segments.repartition("v").sortWithinPartitions("v").mapInArrow(_sorted, _GONE), "later-windows")
     every = found.filter("gone").select("doc_id", "tag", "start", "n").unionByName(sorted_out)
     lists = every.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(
         F.collect_list(F.struct("start", "n")).alias("_gone")
     )
-    joined = marked.join(lists, marked.doc_id.eqNullSafe(lists._doc) & (marked._own == lists._tag), "left")
+    joined = marked.join(lists.hint("merge"), marked.doc_id.eqNullSafe(lists._doc) & (marked._own == lists._tag), "left")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", spans)])
     return joined.select(*docs.columns, "_bytes", "_gone").mapInArrow(_cut(schema), schema)
