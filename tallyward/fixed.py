@@ -11,6 +11,8 @@ WRITE_WORDS = [
 
 # Patterns over lower-cased query text.
 TABLE_PATTERN = r"(?:from|join)\s+([a-z_][a-z0-9_.]*)"
+# The end of FROM is tested by look-arounds over ASCII letters: \b would take an accented letter before or
+# after it for a word edge or not, depending on the engine, and the look-arounds are cheaper per position.
 SELECT_LIST_PATTERN = r"(?s)select\s+(.*?)from(?<![a-z0-9_]from)(?![a-z0-9_])"
 LAST_WORD_PATTERN = r"([^\s,]+)\s*(?:,|\z)"
 LIMIT_PATTERN = r"limit\s+(\d+)"

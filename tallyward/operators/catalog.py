@@ -165,9 +165,8 @@ def lineage(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
         taken = frontier.join(steps, F.col("node") == F.col("to_node")).select(
             "root", "from_node", "to_node", F.lit(level).alias("depth")
         )
-        if depth > 3:
-            # each level reads the one before twice; written out, the plan stays short
-            taken = cut(taken)
+        # each level reads the one before twice; written out, it is worked out once and the plan stays short
+        taken = cut(taken)
         found.append(taken)
         if level < depth:
             frontier = (

@@ -45,15 +45,24 @@ def drain(stream: DataFrame, label: str, partition_by: list[str] = (), folder: s
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     query = writer.start()
-    query.awaitTermination()
+    # Spark keeps the progress of the last batches only, so it is summed up while the stream runs
+    dropped: dict[int, int] = {}
+    while not query.awaitTermination(1):
+        dropped |= _dropped(query)
+    query.late_rows = sum((dropped | _dropped(query)).values())
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), query
 
 
+def _dropped(query) -> dict[int, int]:
+    """Rows dropped by the watermark in each batch whose progress is still kept."""
+    return {
+        p["batchId"]: sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]) for p in query.recentProgress
+    }
+
+
 def late_rows(query) -> int:
-    """Rows a finished query dropped because they came after the watermark."""
-    return sum(
-        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
-    )
+    """Rows that a query of ``drain`` dropped over its whole run because they came after the watermark."""
+    return query.late_rows
 
 
 def ingest_stream(incoming: DataFrame, layout: EventLayout, now=None) -> DataFrame:

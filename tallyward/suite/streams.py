@@ -97,7 +97,15 @@ def _states(spark, folder):
         spark.conf.set(setting, before)
 
 
-@add("x04_case_state")
+@add(
+    "x04_case_state",
+    """with mark as (select date_trunc('millisecond', max(ts) - interval '1 day') as m from events),
+            seen as (select user_id as case_id, count(*) as events, max(ts) as last_ts from events
+                     where user_id is not null and date_trunc('hour', ts) + interval '1 hour' <= (select m from mark) group by 1)
+       select case_id, events, last_ts, null::double as minutes_since_previous, false as closed from seen
+       union all select case_id, events, last_ts, null, true from seen
+           where date_trunc('millisecond', last_ts) + interval '24 hours' <= (select m from mark)""",
+)
 def x04_state(spark, folder):
     return _states(spark, folder)
 
