@@ -238,13 +238,15 @@ VIEWS: dict[str, str] = {
     "v_context_terms": """
         select distinct p_name as name, p_brand || ' ' || p_type as synonyms_text from {part}""",
     "v_context_tables": """
-        select 'docs_' || cast(doc_id as varchar(20)) as table_name, text as description,
-               case when n_chars % 3 = 0 then 'glossary.small ring' when n_chars % 3 = 1 then 'glossary.red widget' else 'glossary.hot gear' end as tag
-        from {documents}""",
+        select 'part_' || cast(p_partkey as varchar(20)) as table_name, p_name || ' ' || p_type || ' ' || p_brand as description,
+               case p_size when 1 then 'glossary.small ring' when 2 then 'glossary.red widget' when 3 then 'glossary.hot gear'
+                    else 'size ' || cast(p_size as varchar(20)) end as tag
+        from {part}""",
     "v_context_questions": """
         select conv_id * 100 + turn as question_id,
-               case when turn = 0 then 'How many small ring items came from ' || text
-                    when turn = 1 then 'Is docs_17 right about ' || text
+               case turn when 0 then 'How many small ring items came from ' || text
+                    when 1 then 'Is part_17 right about ' || text
+                    when 2 then 'And Brand#12 of ' || text
                     else text end as question
         from {conversations}""",
     # metric requests told from events
