@@ -168,13 +168,21 @@ def e08_midway(spark, folder):
 
 @add(
     "e11_freshness_midway",
-    """select 'orders' as table_name, 100::bigint as max_delay_minutes, null::bigint as max_delay_hours, 100::bigint as max_minutes, age as age_minutes, age <= 100 as fresh
-       from (select cast(floor((epoch_us(timestamp '1997-01-01 12:00:00') - epoch_us(max(o_orderdate))) / 60000000.0 + 0.5) as bigint) as age
-             from orders where o_orderdate <= timestamp '1997-01-01 12:00:00')""",
+    """with t as (select 'orders' as table_name, max(o_orderdate) as last from orders where o_orderdate <= timestamp '1997-01-01 12:00:00'
+                  union all select 'lineitem', max(l_shipdate) from lineitem where l_shipdate <= timestamp '1997-01-01 12:00:00'),
+            j as (select *, cast(floor((epoch_us(timestamp '1997-01-01 12:00:00') - epoch_us(last)) / 60000000.0 + 0.5) as bigint) as age from t)
+       select table_name, 1000::bigint as max_delay_minutes, null::bigint as max_delay_hours, 1000::bigint as max_minutes, age as age_minutes, age <= 1000 as fresh from j""",
 )
 def e11_midway(spark, folder):
-    slas = spark.createDataFrame([("orders", 100, None)], "table_name string, max_delay_minutes bigint, max_delay_hours bigint")
-    return eventlog.freshness({"orders": (load(spark, folder, "orders"), "o_orderdate")}, slas, "1997-01-01 12:00:00")
+    slas = spark.createDataFrame(
+        [("orders", 1000, None), ("lineitem", 1000, None)],
+        "table_name string, max_delay_minutes bigint, max_delay_hours bigint",
+    )
+    tables = {
+        "orders": (load(spark, folder, "orders"), "o_orderdate"),
+        "lineitem": (load(spark, folder, "lineitem"), "l_shipdate"),
+    }
+    return eventlog.freshness(tables, slas, "1997-01-01 12:00:00")
 
 
 @add(
