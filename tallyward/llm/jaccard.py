@@ -19,16 +19,18 @@ always holds. Bands double in size; a set of up to four thirds of a band's end
 is sketched for that band too, as it may join a smaller set there.
 
 Equal sets are one class before anything else. Classes that meet at a key are
-candidates. To find all links without making all pairs of a group, each key
-first pairs its members with its least one. Verified pairs join classes into
-components. What is left are keys where different components meet; only there
-are the remaining pairs made, and only between components. A family of
-thousands of near copies is one component after the first round. A key that
-very many sets of different components share (a common passage) is left out by
-those sets that need not rely on it: a set fills ``f`` words, of which at least
-``f - a / 3`` are equal in any partner, so if fewer than that are such crowded
-keys, an uncrowded one is equal as well. Sets that are mostly made of crowded
-keys keep theirs, so no link is lost.
+candidates. A set that fills ``f`` words shares at least ``f`` less the
+symmetric difference with a partner, and pairs that share fewer keys are
+dropped before any text is fetched. A key with more than ``CROWD`` classes is
+crowded (a common passage, or a large family of near copies): it makes no
+pairs. Instead each class counts its crowded keys, and its pairs may lack that
+many. A class that fills too few other words to be found by them relies on its
+crowded keys. Each relying class is paired with the class that has most crowded
+keys at two of its own, which in a family of near copies is the least changed
+one. These pairs are verified and joined into components; a family of thousands
+of near copies is about one component then. Relying classes of different
+components are compared by their rarest shingles. So no link is lost, and no
+group makes all its pairs.
 
 Keys travel in blocks: for each batch of documents and each part of the key
 space, one row with the keys as bytes and the numbers of their classes. Equal
@@ -51,13 +53,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import stored, whole
+from tallyward.llm.common import sliced, stored, whole
 from tallyward.llm.shingles import mix, shingle_sets
 
 #: Elements per sketch word to choose from, the thriftiest first; 0 gives each element its own word.
-LOADS = (2.6, 2.2, 1.8, 1.3, 0.0)
-#: Members from which on a key is crowded.
-CROWD = 64
+LOADS = (1.8, 1.3, 0.0)
+#: Classes beyond which a key is crowded.
+CROWD = 32
 #: Keys for which one part of the key space is meant.
 PART_KEYS = 500_000
 
@@ -101,7 +103,7 @@ _SETS = "doc_id bigint, tag bigint, n int, s1 bigint, s2 bigint, fills array<int
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, marks and how many words each choice of load fills, in each band of the set."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t or b"" for t in batch.column("text").to_pylist()]
         ns, s1, s2, fills = [], [], [], []
         for hashes in shingle_sets(texts):
@@ -125,35 +127,31 @@ def own_band():
     return F.length(F.bin("n")) - 1
 
 
-def chosen_words(classes: DataFrame) -> dict[int, int]:
-    """Sketch words for each band: the thriftiest load at which every set fills more than a third of its size.
+def chosen_loads(classes: DataFrame) -> dict[int, int]:
+    """Number of the load for each band: the thriftiest at which every set of the band fills more than a third of its size.
 
     The aggregate has one row for each band, of which there are some twenty.
     """
-    own = own_band()
-    below = (own > 0) & (3 * F.col("n") < 4 * F.pow(F.lit(2.0), own))
-    level = F.posexplode(F.when(below, F.array(own, own - 1)).otherwise(F.array(own)))
-    rows = classes.filter("n > 0").select("n", "fills", level.alias("k", "band"))
-    enough = [
-        F.min(F.get("fills", F.col("k") * (len(LOADS) - 1) + i) > F.floor(F.col("n") / 3)).alias(f"ok{i}") for i in range(len(LOADS) - 1)
-    ]
+    rows = classes.filter("n > 0").select("n", "fills", own_band().cast("int").alias("band"))
+    enough = [F.min(F.get("fills", F.lit(i)) > F.floor(F.col("n") / 3)).alias(f"ok{i}") for i in range(len(LOADS) - 1)]
     out = {}
     for r in rows.groupBy("band").agg(*enough).collect():
         i = next((i for i in range(len(LOADS) - 1) if r[f"ok{i}"]), len(LOADS) - 1)
-        out[r["band"]] = sketch_words(r["band"], LOADS[i])
-    return out
+        out[r["band"]] = i
+    # a set may be sketched for the band below its own although no set has that size
+    return {b: out.get(b, len(LOADS) - 1) for b in range(max(out, default=0) + 1)}
 
 
-_BLOCK = "part int, keys binary, at binary, classes binary"
+_BLOCK = "part int, keys binary, at binary, classes binary, sizes binary"
 
 
-def _keys(words: dict[int, int], parts: int):
-    """For each batch and part: 64-bit keys, the places of their classes in ``classes``, and the classes' marks."""
+def _keys(loads: dict[int, int], parts: int):
+    """For each batch and part: 64-bit keys, the places of their classes in ``classes``, the classes' marks and their sizes and fills."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             seen: dict[int, int] = {}
-            keys, owners = [], []
+            keys, owners, sizes = [], [], []
             for hashes in shingle_sets([t or b"" for t in batch.column("text").to_pylist()]):
                 if not len(hashes):
                     continue
@@ -161,8 +159,10 @@ def _keys(words: dict[int, int], parts: int):
                 if mark in seen:
                     continue
                 seen[mark] = len(seen)
-                for level in bands_of(len(hashes)):
-                    place, bits = sketch(hashes, words[level])
+                for k, level in enumerate(bands_of(len(hashes))):
+                    place, bits = sketch(hashes, sketch_words(level, LOADS[loads[level]]))
+                    if k == 0:
+                        sizes.append((len(hashes), len(place)))
                     keys.append(mix(bits + mix(place * np.uint64(64) + np.uint64(level))))
                     owners.append(np.full(len(place), seen[mark], np.uint32))
             if not keys:
@@ -172,12 +172,14 @@ def _keys(words: dict[int, int], parts: int):
             order = np.lexsort((key, part))
             key, owner, part = key[order], owner[order], part[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            names = np.array(list(seen), np.int64)
+            names, size = np.array(list(seen), np.int64), np.array(sizes, np.int32)
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 used, at = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(part[a]), key[a:b].tobytes(), at.astype(np.uint32).tobytes(), names[used].tobytes()))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                # the part stands for the upper bits
+                low = np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :6])
+                rows.append((int(part[a]), low.tobytes(), at.astype(np.uint16).tobytes(), names[used].tobytes(), size[used].tobytes()))
+            kinds = [pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")]
             )
@@ -185,31 +187,79 @@ def _keys(words: dict[int, int], parts: int):
     return run
 
 
+_MET = "key bigint, a bigint, b bigint, times int, need int"
+
+
+def _pairs(key: np.ndarray, mark: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs ``a < b`` of equal keys with sizes that allow a link: how many keys they share, how many a link needs.
+
+    Rows come by key and mark, and no key has more than ``CROWD`` of them.
+    """
+    left, right = [], []
+    for gap in range(1, CROWD):
+        i = np.flatnonzero(key[gap:] == key[:-gap])
+        if not len(i):
+            break
+        small, large = np.minimum(size[i, 0], size[i + gap, 0]), np.maximum(size[i, 0], size[i + gap, 0])
+        i = i[100 * small.astype(np.int64) >= 75 * large.astype(np.int64)]
+        left.append(i), right.append(i + gap)
+    if not left:
+        return (np.zeros(0, np.int64),) * 4
+    i, j = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((mark[j], mark[i]))
+    i, j = i[order], j[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (mark[i][1:] != mark[i][:-1]) | (mark[j][1:] != mark[j][:-1])
+    starts = np.flatnonzero(new)
+    times = np.diff(np.concatenate([starts, [len(i)]]))
+    i, j = i[starts], j[starts]
+    fill = np.where(size[i, 0] <= size[j, 0], size[i, 1], size[j, 1])
+    return mark[i], mark[j], times, fill - (size[i, 0].astype(np.int64) + size[j, 0]) // 7
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, class) of all keys that two classes or more share; rows come by part."""
+    """Pairs that share keys, and the rows (key, class) of crowded keys with ``b`` null; blocks come by part."""
 
-    def out(keys: list, marks: list) -> pa.RecordBatch | None:
-        key, mark = np.concatenate(keys), np.concatenate(marks)
+    def out(blocks: list) -> pa.RecordBatch:
+        key, mark, size = (np.concatenate(c) for c in zip(*blocks, strict=True))
         order = np.lexsort((mark, key))
-        key, mark = key[order], mark[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
-        key, mark = key[new], mark[new]
-        alike = key[1:] == key[:-1]
-        shared = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
-        return pa.RecordBatch.from_arrays([pa.array(key[shared].view(np.int64)), pa.array(mark[shared])], names=["key", "class"])
-
-    held, keys, marks = None, [], []
+        key, mark, size = key[order], mark[order], size[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+        key, mark, size = key[new], mark[new], size[new]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        members = np.diff(np.concatenate([starts, [len(key)]]))
+        many = np.repeat(members > CROWD, members)
+        some = np.repeat((members > 1) & (members <= CROWD), members)
+        a, b, times, need = _pairs(key[some], mark[some], size[some])
+        n, m = len(a), int(many.sum())
+        none = pa.nulls(m, pa.int64())
+        columns = [
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key[many].view(np.int64))]),
+            pa.concat_arrays([pa.array(a, pa.int64()), pa.array(mark[many])]),
+            pa.concat_arrays([pa.array(b, pa.int64()), none]),
+            pa.concat_arrays([pa.array(times.astype(np.int32)), none.cast(pa.int32())]),
+            pa.concat_arrays([pa.array(need.astype(np.int32)), none.cast(pa.int32())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MET.split(", ")])
+
+    held, blocks = None, []
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("part", "keys", "at", "classes")]
-        for part, key, at, classes in zip(*columns, strict=True):
-            if keys and part != held:
-                yield out(keys, marks)
-                keys, marks = [], []
+        rows = zip(*[batch.column(c.split()[0]).to_pylist() for c in _BLOCK.split(", ")], strict=True)
+        for part, key, at, classes, sizes in rows:
+            if blocks and part != held:
+                yield out(blocks)
+                blocks = []
             held = part
-            keys.append(np.frombuffer(key, np.uint64))
-            marks.append(np.frombuffer(classes, np.int64)[np.frombuffer(at, np.uint32)])
-    if keys:
-        yield out(keys, marks)
+            place = np.frombuffer(at, np.uint16)
+            full = np.zeros((len(place), 8), np.uint8)
+            full[:, :6] = np.frombuffer(key, np.uint8).reshape(-1, 6)
+            full[:, 6:] = np.array([part & 0xFFFF], np.uint16).view(np.uint8)
+            blocks.append(
+                (full.view(np.uint64).ravel(), np.frombuffer(classes, np.int64)[place], np.frombuffer(sizes, np.int32).reshape(-1, 2)[place])
+            )
+    if blocks:
+        yield out(blocks)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -220,7 +270,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs of texts whose sets are linked."""
-    for batch in batches:
+    for batch in sliced(batches, 500):
         texts, at = [], {}
         for column in ("text_a", "text_b"):
             for t in batch.column(column).to_pylist():
@@ -272,44 +322,60 @@ def similar(docs: DataFrame) -> DataFrame:
         ),
         "classes",
     )
-    words = chosen_words(classes)
+    loads = chosen_loads(classes)
     size = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, size // PART_KEYS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = texts.mapInArrow(_keys(words, parts), _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
-    met = stored(blocks.mapInArrow(_groups, "key bigint, class bigint"), "met")
-
-    # first round: each key's members with its least member
-    least = met.groupBy("key").agg(F.min("class").alias("a"))
-    stars = met.join(least, "key").filter(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
-    tested = stored(verified(texts, classes, stars), "tested")
-    nodes = met.select(F.col("class").alias("node")).distinct()
+    blocks = texts.mapInArrow(_keys(loads, parts), _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
+    met = stored(blocks.mapInArrow(_groups, _MET), "met")
+
+    # pairs by their uncrowded keys, less what crowded keys may add
+    crowd = met.filter("b is null").groupBy(F.col("a").alias("class"))
+    crowded = stored(crowd.agg(F.count("*").alias("crowded"), F.array(F.min("key"), F.max("key")).alias("keys")), "crowded")
+    counted = met.filter("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    of_a, of_b = (crowded.select(F.col("class").alias(c), F.col("crowded").alias(f"c{c}")) for c in "ab")
+    spare = F.coalesce(F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))), F.lit(0))
+    pairs = counted.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.col("times") + spare >= F.col("need"))
+    info = classes.select(F.col("s1").alias("class"), "n", "fills", "first")
+    reliant = (
+        crowded.join(info, "class")
+        .filter(F.col("crowded") >= F.array_min(_least_fill(loads)) - F.floor(F.col("n") / 3))
+        .select("class", "n", "fills", "first", F.element_at(_least_fill(loads), 1).alias("fill"), "crowded", "keys")
+    )
+    relying = stored(reliant, "relying")
+    # two keys of each class: this round only joins families, the prefixes below find what it leaves
+    columns = ("class", "n", "fill", "crowded")
+    two = relying.select(F.explode(F.array_distinct("keys")).alias("key"), *columns)
+    middle = two.groupBy("key").agg(F.max(F.struct("crowded", "class", "n", "fill")).alias("m"))
+    middle = middle.select("key", *[F.col(f"m.{c}").alias(f"{c}_a") for c in columns])
+    other = two.select("key", *[F.col(c).alias(f"{c}_b") for c in columns])
+    need = F.when(F.col("n_a") <= F.col("n_b"), F.col("fill_a")).otherwise(F.col("fill_b")) - F.floor((F.col("n_a") + F.col("n_b")) / 7)
+    sizes_fit = F.expr("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    # the classes need not be told apart by uncrowded keys
+    alike = sizes_fit & (F.least("crowded_a", "crowded_b") >= need)
+    same_key = middle["key"] == other["key"]
+    stars = middle.join(other, same_key & alike & (F.col("class_a") != F.col("class_b")))
+    stars = stars.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+    tested = stored(verified(texts, info, pairs.select("a", "b").union(stars).distinct()), "tested")
+    nodes = stored(tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), "nodes")
     links = tested.filter("ok").select("a", "b")
     roots = components(nodes, links)
 
-    # second round: keys where components still meet
-    placed = met.join(roots, met["class"] == roots.node).select("key", "class", "root")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x <> y")
-    left = stored(placed.join(open_keys.select("key", "members"), "key"), "open")
-    crowded = left.filter(F.col("members") > CROWD).groupBy("class").agg(F.count("*").alias("crowded"))
-    reliant = (
-        crowded.join(classes.select(F.col("s1").alias("class"), "n", "fills"), "class")
-        .filter(F.col("crowded") >= F.array_min(_least_fill(words)) - F.floor(F.col("n") / 3))
-        .select("class")
-    )
-    used = left.filter(F.col("members") <= CROWD).unionByName(left.filter(F.col("members") > CROWD).join(reliant, "class", "left_semi").select(left.columns))
-    one, two = (used.select("key", F.col("class").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    pairs = one.join(two, "key").filter("ra <> rb and a < b").select("a", "b").distinct()
-    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(verified(texts, classes, pairs), "tested")
-    if more.filter("ok").limit(1).count():
-        roots = components(nodes, links.union(more.filter("ok").select("a", "b")))
+    # what may still be linked across components
+    placed = relying.join(roots.hint("merge"), F.col("class") == F.col("node"), "left")
+    left = stored(placed.select("class", F.coalesce("root", "class").alias("root"), "n", "first"), "open")
+    rest = apart_by_prefix(texts, left)
+    again = stored(verified(texts, info, rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
+    found = again.filter("ok").select("a", "b")
+    if found.limit(1).count():
+        ends = again.select(F.col("a").alias("node")).union(again.select("b")).union(nodes).distinct()
+        roots = components(ends, links.union(found))
 
     first = classes.select(F.col("s1").alias("node"), "s2", "n", "first").join(roots, "node", "left")
     named = first.withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("first").alias("keeper"))
     labels = named.join(names, "root").select(F.col("node").alias("s1"), "s2", "n", "keeper")
     some = F.col("n") > 0
-    return rows.join(labels, ["s1", "s2", "n"], "left").select(
+    return rows.join(labels.hint("merge"), ["s1", "s2", "n"], "left").select(
         "doc_id",
         "tag",
         "n",
@@ -327,11 +393,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return joined.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
 
 
-def _least_fill(words: dict[int, int]):
+def _least_fill(loads: dict[int, int]):
     """The filled words of a class in each of its bands, from its counts."""
     own = own_band()
-    choice = {b: next((i for i, x in enumerate(LOADS) if sketch_words(b, x) == p), len(LOADS) - 1) for b, p in words.items()}
-    at = F.create_map(*[F.lit(x) for pair in choice.items() for x in pair]) if choice else F.create_map(F.lit(0), F.lit(0))
+    at = F.create_map(*[F.lit(x) for pair in loads.items() for x in pair]) if loads else F.create_map(F.lit(0), F.lit(0))
 
     def fill(k: int):
         i = F.element_at(at, own - k)
@@ -340,9 +405,51 @@ def _least_fill(words: dict[int, int]):
     return F.array_compact(F.array(fill(0), F.when(F.size("fills") > len(LOADS) - 1, fill(1))))
 
 
-def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, ok`` for pairs of classes; sizes rule out most wrong pairs before any text is fetched."""
-    info = classes.select(F.col("s1").alias("class"), "n", "first")
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 500):
+        texts = [t or b"" for t in batch.column("text").to_pylist()]
+        for i, hashes in enumerate(shingle_sets(texts)):
+            fixed = [pa.array([batch.column(c)[i].as_py()] * len(hashes), t) for c, t in (("class", pa.int64()), ("root", pa.int64()), ("n", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(hashes.view(np.int64))], names=["class", "root", "n", "element"])
+
+
+def apart_by_prefix(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of classes of different components that may be linked, by their rarest shingles.
+
+    The exact way for what meets at crowded keys only. Two sets of sizes ``a``
+    and ``b`` need ``o = 3 (a + b) / 7`` elements in common, so among the first
+    ``a - o + 1`` and ``b - o + 1`` elements in one order of all elements, one is
+    equal. Rare elements come first, so a set that differs from a family of
+    copies by more than that meets none of them. In a group of one element, the
+    most frequent component is on one side of the join only, as its members
+    need not be compared with each other.
+    """
+    of = classes.select("class", "root", "n", F.col("first.doc_id").alias("_doc"), F.col("first.tag").alias("_tag"))
+    cond = texts.doc_id.eqNullSafe(of._doc) & (texts.tag == of._tag)
+    chosen = texts.join(of.hint("merge"), cond).select("class", "root", "n", "text").dropDuplicates(["class"])
+    rows = stored(chosen.mapInArrow(_elements, "class bigint, root bigint, n int, element bigint"), "elements")
+    # the rows of a shingle are sorted on disk as needed and counted one after another
+    shared = Window.partitionBy("element")
+    often = rows.select("*", F.count("*").over(shared).alias("often"), F.min("root").over(shared).alias("x"), F.max("root").over(shared).alias("y"))
+    order = Window.partitionBy("class").orderBy("often", "element")
+    ranked = often.withColumn("place", F.row_number().over(order))
+    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(0.75 * F.col("n")) + 1) & (F.col("x") != F.col("y")))
+    prefix = stored(prefix.select("element", "class", "root", "n", "place"), "prefixes")
+    most = prefix.groupBy("element", "root").agg(F.count("*").alias("k")).groupBy("element").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+    a = prefix.join(most.hint("merge"), "element").filter("root <> most")
+    a, b = (df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("element", "class", "root", "n", "place")]) for df, side in ((a, "a"), (prefix, "b")))
+    common = F.ceil(3 * (F.col("n_a") + F.col("n_b")) / 7)
+    cond = (F.col("element_a") == F.col("element_b")) & (F.col("root_a") != F.col("root_b"))
+    cond = cond & F.expr("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    for side in "ab":
+        cond = cond & (F.col(f"place_{side}") <= F.col(f"n_{side}") - common + 1)
+    pairs = a.join(b, cond)
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def verified(texts: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, ok`` for pairs of classes whose sizes allow a link; only the texts of these are fetched."""
+    info = info.hint("merge")
     sized = (
         pairs.join(info.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa")), "a")
         .join(info.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb")), "b")
@@ -351,9 +458,9 @@ def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     sized = stored(sized, "pairs")
     needed = sized.select(F.col("fa").alias("f")).union(sized.select("fb")).distinct().select("f.doc_id", "f.tag")
     cond = texts.doc_id.eqNullSafe(needed.doc_id) & (texts.tag == needed.tag)
-    fetched = stored(texts.join(needed, cond, "left_semi").dropDuplicates(["doc_id", "tag"]), "texts")
+    fetched = stored(texts.join(needed.hint("merge"), cond, "left_semi").dropDuplicates(["doc_id", "tag"]), "texts")
     both = sized.select("a", "b", "fa", "fb")
     for side in "ab":
         t = fetched.select(F.struct("doc_id", "tag").alias(f"k{side}"), F.col("text").alias(f"text_{side}"))
-        both = both.join(t, F.col(f"f{side}") == F.col(f"k{side}"))
+        both = both.join(t.hint("merge"), F.col(f"f{side}") == F.col(f"k{side}"))
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint, ok boolean")
