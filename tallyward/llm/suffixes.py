@@ -24,7 +24,10 @@ windows all but the earliest are removed.
 
 Equal runs in one batch of documents are told at once, so a passage that a third
 of all documents hold comes to its task once per batch, and its content once
-in all.
+in all. Where a very common passage ends, its last anchors have as many
+contents as documents. The runs of an anchor with more than ``HOT`` contents
+are cut into their windows, which go to tasks by their own hashes, equal ones
+of a batch once; so no anchor makes a large group.
 
 Defined cases: a null text counts as empty; texts shorter than ``LENGTH`` are
 never touched; a text of any length is worked on whole; repeated rows with
@@ -40,15 +43,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.llm.common import stored, whole
+from tallyward.llm.common import sliced, stored, whole
 from tallyward.llm.shingles import _powers, blocks, mix
 
 LENGTH = 100
 GRAM = 24
+#: Contents around one anchor beyond which their windows are told apart one by one.
+HOT = 1000
 #: Bytes of runs that one suffix array is built over; a group of one anchor is not parted.
 CHUNK = 1 << 19
 ADDED = ["kept", "spans"]
@@ -238,12 +244,27 @@ _SEGMENT = "v bigint, doc_id bigint, tag int, start int, content binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the listed runs of each document."""
-    for batch in batches:
+    """The bytes of the listed runs of each document, or of each window of them where the anchor is hot.
+
+    A window that came up before in the batch is sent without its bytes: it is removed in any case.
+    """
+    for batch in sliced(batches):
         rows: list = []
-        columns = [batch.column(x).to_pylist() for x in ("doc_id", "tag", "text", "_runs")]
-        for doc, tag, text, runs in zip(*columns, strict=True):
-            rows += [(r["v"], doc, tag, r["start"], text[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in runs]
+        seen: set[bytes] = set()
+        columns = zip(*[batch.column(x).to_pylist() for x in ("doc_id", "tag", "text", "_runs")], strict=True)
+        for doc, tag, text, runs in sorted(columns, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+            for r in sorted(runs, key=lambda r: r["start"]):
+                start = r["start"]
+                if not r["hot"]:
+                    rows.append((r["v"], doc, tag, start, text[start : start + r["n"] + LENGTH - 1]))
+                    continue
+                for i in range(start, start + r["n"]):
+                    window = text[i : i + LENGTH]
+                    if window in seen:
+                        rows.append((xxhash.xxh3_64_intdigest(window, seed=i + len(rows)) - (1 << 63), doc, tag, i, None))
+                    else:
+                        seen.add(window)
+                        rows.append((xxhash.xxh3_64_intdigest(window) - (1 << 63), doc, tag, i, window))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for a in range(0, len(rows), 50_000):
             part = zip(*rows[a : a + 50_000], strict=True)
@@ -262,19 +283,28 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = []
         for row, found in zip(rows, later_windows([r[4] for r in rows]), strict=True):
             gone += [(row[1], row[2], row[3] + a, k) for a, k in found]
+        return table(gone)
+
+    def table(gone: list) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         columns = list(zip(*gone, strict=True)) if gone else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _GONE.split(", ")])
 
-    rows, size, held = [], 0, None
+    rows, sure, size, held = [], [], 0, None
     for batch in batches:
         for row in zip(*[batch.column(c.split()[0]).to_pylist() for c in _SEGMENT.split(", ")], strict=True):
             if size > CHUNK and row[0] != held:
                 yield out(rows)
                 rows, size = [], 0
             held = row[0]
+            if row[4] is None:
+                sure.append((row[1], row[2], row[3], 1))
+                continue
             rows.append(row)
             size += len(row[4])
+        if sure:
+            yield table(sure)
+            sure = []
     if rows:
         yield out(rows)
 
@@ -316,15 +346,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         "*",
         F.min(rank).over(content).alias("_first"),
         ((F.min("c").over(group) != F.max("c").over(group)) | F.max("again").over(group)).alias("_mixed"),
-    )
-    gone = F.col("sure") | (rank != F.col("_first"))
+    ).withColumn("gone", F.col("sure") | (rank != F.col("_first")))
+    contents = F.count(F.when(~F.col("gone"), True)).over(group)
     found = stored(
-        placed.filter(gone | F.col("_mixed")).select("v", "doc_id", "tag", "start", "n", gone.alias("gone")), "runs"
+        placed.withColumn("hot", contents > HOT).filter("gone or _mixed").select("v", "doc_id", "tag", "start", "n", "gone", "hot"),
+        "runs",
     )
     wanted = (
         found.filter("not gone")
         .groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"))
-        .agg(F.collect_list(F.struct("v", "start", "n")).alias("_runs"))
+        .agg(F.collect_list(F.struct("v", "start", "n", "hot")).alias("_runs"))
     )
     segments = (
         texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted._doc) & (texts.tag == wanted._tag))
