@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.llm.common import sliced, stored, whole
-from tallyward.llm.units import in_order, later_copies, scattered, tagged, turns
+from tallyward.llm.units import in_order, later_copies, once, scattered, tagged, turns
 
 LEAST_WORDS = 8
 ADDED = ["n_lines", "n_exact", "n_near"]
@@ -107,7 +107,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 1000):
         keys, kinds, owners = [], [], []
         rows = zip(*[batch.column(n).to_pylist() for n in ("doc_id", "tag", "text", "_c")], strict=True)
-        for doc, tag, text, wanted in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        for doc, tag, text, wanted in once(rows):
             all_lines = lines(text)
             shared: dict[int, set[int]] = {}
             for c in wanted:

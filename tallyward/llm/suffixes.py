@@ -50,6 +50,7 @@ from pyspark.sql import types as T
 
 from tallyward.llm.common import sliced, stored, whole
 from tallyward.llm.shingles import _powers, blocks, mix
+from tallyward.llm.units import once
 
 LENGTH = 100
 GRAM = 24
@@ -100,7 +101,7 @@ _RUN = "v bigint, c bigint, doc_id bigint, tag int, start int, n int, again bool
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(*[batch.column(x).to_pylist() for x in ("doc_id", "tag", "text")], strict=True)
-        rows = [r for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) if len(r[2]) >= LENGTH]
+        rows = once(r for r in rows if len(r[2]) >= LENGTH)
         ids = [r[0] for r in rows]
         tags = np.array([r[1] for r in rows], np.int32)
         found = []
@@ -355,7 +356,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     wanted = (
         found.filter("not gone")
         .groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"))
-        .agg(F.collect_list(F.struct("v", "start", "n", "hot")).alias("_runs"))
+        .agg(F.collect_set(F.struct("v", "start", "n", "hot")).alias("_runs"))  # repeated rows in other batches list the same runs
     )
     segments = (
         texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted._doc) & (texts.tag == wanted._tag))

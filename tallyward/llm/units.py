@@ -7,7 +7,7 @@ do not mix; rows equal in both count as one document.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +53,22 @@ def scattered(h: np.ndarray) -> np.ndarray:
     return mix(h.view(np.uint64) + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def once(rows: Iterable[tuple]) -> list[tuple]:
+    """Rows that start with id and text hash in order of these, one for each document.
+
+    What is told inside a batch must not take a repeated row for a later copy of
+    itself: removals go by id and hash, so both rows would lose the text.
+    """
+    out: list[tuple] = []
+    for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        if not out or row[:2] != out[-1][:2]:
+            out.append(row)
+    return out
+
+
 def in_order(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, str]]:
-    """Rows of a batch by id, text hash."""
-    rows = zip(*[batch.column(n).to_pylist() for n in ("doc_id", "tag", "text")], strict=True)
-    return iter(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
+    """Documents of a batch by id, text hash; rows equal in both come once."""
+    return iter(once(zip(*[batch.column(n).to_pylist() for n in ("doc_id", "tag", "text")], strict=True)))
 
 
 def _seen(split: Splitter):
