@@ -58,21 +58,30 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 
 def poisson_steps(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ...; each term follows from the one before.
+    """``low, steps``: a whole number, and P(X <= low), P(X <= low + 1), ...
 
-    The list ends where the rest weighs less than the 52 bits of the uniform
-    number can show. exp(-rate) stays above zero up to rates of 700.
+    Weights follow from each other outwards from the mode, where the weight is
+    one, and are divided by their sum, so no rate is too large for them. Both
+    ends lie where the rest weighs less than the 52 bits of the uniform number
+    can show; there are about 24 * sqrt(rate) steps.
     """
-    many = F.ceil(rate + 12.0 * F.sqrt(rate) + 24.0).cast("int")
-    grown = F.aggregate(
-        F.sequence(F.lit(1), many),
-        F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c")),
-        lambda a, i: F.struct(
-            (a["p"] * rate / i).alias("p"),
-            F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * rate / i)).alias("c"),
-        ),
+    mode = F.floor(rate).cast("bigint")
+    reach = 12.0 * F.sqrt(rate) + 24.0
+    low = F.greatest(F.lit(0), F.floor(rate - reach)).cast("bigint")
+    many = F.ceil(rate + reach).cast("bigint")
+    one = F.array(F.lit(1.0))
+    down = F.when(mode > low, F.sequence(mode, low + 1, F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    lower = F.aggregate(down, one, lambda a, k: F.concat(F.array(F.element_at(a, 1) * k / rate), a))
+    upper = F.aggregate(F.sequence(mode + 1, many), one, lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * rate / k)))
+    weights = F.concat(lower, F.slice(upper, 2, F.size(upper)))
+    upto = F.aggregate(
+        weights,
+        F.array().cast("array<double>"),
+        lambda a, w: F.concat(a, F.array(F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(0.0) + w)),
     )
-    return grown["c"]
+    # the sums are named by a lambda, or they would be worked out anew for each step
+    shares = F.get(F.transform(F.array(upto), lambda u: F.transform(u, lambda c: c / F.element_at(u, -1))), F.lit(0))
+    return F.struct(low.alias("low"), shares.alias("steps"))
 
 
 def mixed(
@@ -87,7 +96,7 @@ def mixed(
     steps = stored(rates.select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps")), "rates")
     joined = docs.join(steps, docs.source.eqNullSafe(steps._source), "left")
     u = uniform(F.lit(seed), F.lit("n"), F.col("doc_id"), F.col("source"))
-    copies = F.size(F.filter("_steps", lambda c: c <= F.col("_u"))).cast("bigint")
+    copies = F.col("_steps.low") + F.size(F.filter("_steps.steps", lambda c: c <= F.col("_u")))
     counted = joined.withColumn("_u", u).withColumn("_copies", copies)
     each = counted.withColumn(
         "copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
