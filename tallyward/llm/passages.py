@@ -1,10 +1,13 @@
 """Repeated passages: units are hashed, grouped globally, and all but the earliest removed.
 
 A unit is a line, or a sentence of it, as passages are often set into longer
-lines. Units are compared in lower case with white space runs as one blank. A
-unit that occurs earlier is taken out only where the run of such units it
-stands in reaches ``LEAST_WORDS``; a short sentence that turns up everywhere
-stays unless its surroundings are repeated as well. The removed pieces keep
+lines. Long sentences are cut further, since a passage may start and end inside
+them: after each word whose pair with the next one has the least hash within
+``REACH`` pairs on both sides. Such a cut depends on these words alone, so it
+falls at the same words of a passage wherever that is set, and no piece of a
+sentence has ``REACH`` words or fewer. Units are compared in lower case with
+white space runs as one blank, and every unit that occurs earlier is taken out;
+``least_words`` asks for runs of so many words instead. The removed pieces keep
 their offsets in the original text.
 
 Defined cases: a null text counts as empty and stays as it is; a text of any
@@ -19,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +30,35 @@ from pyspark.sql import types as T
 from tallyward.llm.common import whole
 from tallyward.llm.units import later_copies
 
-LEAST_WORDS = 20
+LEAST_WORDS = 1
+#: Word pairs on either side of a cut inside a sentence.
+REACH = 5
 # A sentence ends with its mark and the white space after it, a line with its break.
+_WORD = re.compile(r"\S+")
 _UNIT = re.compile(r"[^\n]*?(?:[.!?][)\"'»”]*[\x20\t\r]+|\n|\Z)")
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """The numbers of the words that start a piece of a sentence, beside the first."""
+    h = [xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:], strict=False)]
+    # of equal hashes the first is the least
+    return [i + 1 for i in range(REACH, len(h) - REACH) if h[i] == min(h[i - REACH : i + REACH + 1]) and h[i] not in h[i - REACH : i]]
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Units that together are the text."""
-    return [(m.start(), m.end(), " ".join(m.group().lower().split())) for m in _UNIT.finditer(text) if m.end() > m.start()]
+    out = []
+    for m in _UNIT.finditer(text):
+        a, b = m.span()
+        words = m.group().lower().split()
+        cuts = _cuts(words) if len(words) > 2 * REACH + 1 else []
+        if cuts:
+            starts = [w.start() for w in _WORD.finditer(text, a, b)]
+            for i, j in zip([0, *cuts], [*cuts, len(words)], strict=True):
+                out.append((starts[i] if i else a, starts[j] if j < len(words) else b, " ".join(words[i:j])))
+        elif b > a:
+            out.append((a, b, " ".join(words)))
+    return out
 
 
 def _units(text: str) -> list[bytes]:
