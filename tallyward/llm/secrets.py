@@ -1,8 +1,10 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests for the rest.
 
-Every run of token characters of ``LEAST`` or more is a candidate. Its encoding
+Every run of token characters of ``LEAST`` or more is a candidate; ``=`` ends a
+run unless it pads it, so that a value is apart from its name. Its encoding
 is inferred from the characters it holds, which gives the alphabet it would be
-drawn from if it were a random key. Three tests ask whether it looks drawn that
+drawn from if it were a random key; separators do not count unless the run
+holds letters of both cases, where they can be symbols. Three tests ask whether it looks drawn that
 way: chi-squared of the symbol counts against an even spread, the number of
 runs below and above the middle of the alphabet, and the correlation of
 neighbours. A candidate that none of them rejects at ``ALPHA`` (a third each)
@@ -38,7 +40,8 @@ HEX = "[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Characters of a candidate, and the least number of them.
-TOKEN = "[A-Za-z0-9+/_=-]"
+TOKEN = "[A-Za-z0-9+/_-]"
+SEPARATORS = "+/_-="
 LEAST = 20
 ALPHA = 0.01
 FDR = 0.01
@@ -53,6 +56,7 @@ ALPHABETS = {
     "HEX": DIGITS + "ABCDEF",
     "base32": LOWER.upper() + "234567",
     "base36": DIGITS + LOWER,
+    "BASE36": DIGITS + LOWER.upper(),
     "base64": LOWER.upper() + LOWER + DIGITS + "+/",
 }
 
@@ -123,14 +127,32 @@ def known_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def candidate() -> str:
+    """The pattern of candidates: token characters and padding, ``LEAST`` together.
+
+    A run that is too short without padding may be a little too long for it; its length is looked at afterwards.
+    """
+    return f"{TOKEN}{{{LEAST},}}=*|{TOKEN}{{{LEAST - 6},{LEAST - 1}}}={{1,6}}"
+
+
+def bare(token: Column) -> Column:
+    """The token without separators and padding."""
+    return F.translate(token, SEPARATORS, "")
+
+
 def encoding(token: Column) -> Column:
-    """The smallest alphabet that holds the token; null where no random key is written like that."""
+    """The smallest alphabet that holds the token; null where no random key is written like that.
+
+    Letters of one case may be grouped by separators, which are no symbols then.
+    """
     digit, letter = token.rlike("[0-9]"), token.rlike("[A-Za-z]")
+    symbols = bare(token)
     return (
-        F.when(token.rlike("^[0-9a-f]+$") & digit & letter, "hex")
-        .when(token.rlike("^[0-9A-F]+$") & digit & letter, "HEX")
-        .when(token.rlike("^[A-Z2-7]+=*$") & digit & letter, "base32")
-        .when(token.rlike("^[0-9a-z]+$") & digit & letter, "base36")
+        F.when(symbols.rlike("^[0-9a-f]+$") & digit & letter, "hex")
+        .when(symbols.rlike("^[0-9A-F]+$") & digit & letter, "HEX")
+        .when(symbols.rlike("^[A-Z2-7]+$") & digit & letter, "base32")
+        .when(symbols.rlike("^[0-9a-z]+$") & digit & letter, "base36")
+        .when(symbols.rlike("^[0-9A-Z]+$") & digit & letter, "BASE36")
         .when(token.rlike("[a-z]") & token.rlike("[A-Z]"), "base64")
     )
 
@@ -151,7 +173,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     symbol counts comes from how much shorter the token gets without each
     symbol, so a token of any length takes one pass per symbol.
     """
-    letters = F.translate("value", "-_=", "+/")
+    letters = F.when(F.col("code") == "base64", F.translate("value", "-_=", "+/")).otherwise(bare(F.col("value")))
     alphabet, size = F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, symbols in ALPHABETS.items():
         alphabet = F.when(F.col("code") == name, symbols).otherwise(alphabet)
@@ -235,7 +257,9 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     t = whole(text)
     known = known_spans(t)
     parts = [F.transform(spans, _marked(i)) for i, spans in enumerate(known.values())]
-    candidates = F.filter(found(t, f"{TOKEN}{{{LEAST},}}"), lambda x: encoding(x["value"]).isNotNull())
+    candidates = F.filter(
+        found(t, candidate()), lambda x: (F.length(x["value"]) >= LEAST) & encoding(x["value"]).isNotNull()
+    )
     rows = stored(
         docs.select(
             *keep, F.monotonically_increasing_id().alias("_row"), F.concat(*parts).alias("_known"), candidates.alias("_tokens")
