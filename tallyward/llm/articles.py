@@ -8,8 +8,9 @@ any element with text of its own, gives points for its presence, its commas and
 its length to its ancestors, the full number to the nearest and half as many to
 each next one; an ancestor's points are discounted by the share of its text that
 lies in links. The best container is widened to the article around it where the
-page marks one; of its siblings, headings stay, and without such a mark also
-paragraphs of running text and containers with a fifth of its points. Lists made
+page marks one, or else to what holds nothing but it; of its siblings, headings
+stay, and without such a mark also paragraphs of running text and containers
+with the page's title or a fifth of its points. Lists made
 of links alone are menus and go. All other text of the kept part stays, whatever
 its length, one line for each block.
 
@@ -17,7 +18,7 @@ Each page is worked out on its own, so nothing is shuffled and a task holds one
 small batch; time is in proportion to the page, however deep it is nested.
 
 Odd rows: null and empty html give an empty text, html without tags is all text,
-broken tags count as text, an unclosed comment or script ends with the page.
+a comment, tag or script that the page does not end is left out.
 Equal pages give equal results, each its own row. Other columns keep their
 names; operators name only what they add.
 """
@@ -70,13 +71,14 @@ RUNNING = 80
 
 
 class Node:
-    __slots__ = ("tag", "names", "attrs", "parent", "items", "article", "points", "length", "linked", "links", "own", "cut", "block")
+    __slots__ = ("tag", "attrs", "parent", "items", "article", "marked", "headed", "points", "length", "linked", "links", "own", "cut", "block")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list[Node | str] = []
         self.block = tag in BLOCK
-        self.article = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articlebody"
+        self.marked = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articlebody"
+        self.article = self.headed = False
         self.points = 0.0
         self.length = self.linked = self.links = self.own = 0
         self.cut = False
@@ -157,7 +159,7 @@ def _named_off(node: Node) -> bool:
         words = _words(name)
         hits = [w for i, w in enumerate(words) if (w in CUT_WORDS or (w == "header" and not node.parent.article)) and not ABOUT & set(words[:i])]
         # a whole article is only left out by a name that says nothing else
-        if hits and (not node.article or len(words) == 1):
+        if hits and (not node.marked or len(words) == 1):
             return True
     return False
 
@@ -169,17 +171,20 @@ def _hidden(node: Node) -> bool:
 
 def _mark_cut(order: list[Node], by_name: bool) -> None:
     """Cut what is no reading text, and all inside it; also tell which elements lie in an article."""
-    articles: set[Node] = set()
+    around: set[Node] = set()
     for node in reversed(order):
-        if node.parent is not None and (node.tag in ("article", "main") or node in articles):
-            articles.add(node.parent)
+        if node.parent is not None and (node.tag in ("article", "main") or node in around):
+            around.add(node.parent)
+        node.headed = node.headed or node.tag == "h1"
+        if node.headed and node.parent is not None:
+            node.parent.headed = True
     for node in order[1:]:
         up = node.parent
-        node.article = node.article or up.article
+        node.article = node.marked or up.article
         off = node.tag in CUT_TAGS or node.attrs.get("role") in CUT_ROLES or (node.tag == "header" and not up.article) or _hidden(node)
         # a form around the whole page is none
-        off = off and not (node.tag == "form" and node in articles)
-        node.cut = up.cut or off or (by_name and node not in articles and _named_off(node))
+        off = off and not (node.tag == "form" and (node in around or node.headed))
+        node.cut = up.cut or off or (by_name and node not in around and _named_off(node))
 
 
 def _measure(order: list[Node]) -> None:
@@ -229,6 +234,8 @@ def _kept(order: list[Node]) -> list[Node]:
             marked = node
         node = node.parent
     top = marked or best
+    while not marked and top.parent is not None and top.parent.length == top.length:
+        top = top.parent
     if top.parent is None:
         return [top]
     out = []
@@ -236,7 +243,7 @@ def _kept(order: list[Node]) -> list[Node]:
         if other is top:
             out.append(top)
         elif isinstance(other, Node) and not other.cut and other.length:
-            text = other.tag in HEADING or (other.tag == "hgroup")
+            text = other.tag in HEADING or (other.headed and not marked)
             if not marked:
                 running = other.tag in ("p", "pre", "blockquote") and _density(other) < 0.25
                 ended = not other.linked and re.search(r"[.!?…]\W*$", _text([other])) is not None
@@ -292,7 +299,8 @@ def main_text(html: str | None) -> str:
         return ""
     tree = _Tree()
     tree.feed(html.replace("<![", "<!"))
-    tree.close()
+    if not re.match(r"<(!--|/?[a-zA-Z])", tree.rawdata) or tree.cdata_elem:
+        tree.close()
     text = ""
     for by_name in (True, False):
         _mark_cut(tree.order, by_name)
