@@ -27,12 +27,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.llm.common import sliced
@@ -311,15 +310,17 @@ def main_text(html: str | None) -> str:
     return text
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, 200):
-        texts = [main_text(h) for h in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "_text"])
+def _extract(name: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            texts = pa.array([main_text(h) for h in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], names=[*batch.schema.names[1:], name])
+
+    return run
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` without ``html`` and with the main text as ``text``; a column of that name is replaced."""
     kept = [c for c in pages.columns if c not in (html, text)]
-    shape = T.StructType([pages.schema[c] for c in kept] + [T.StructField("_text", T.StringType())])
-    rows = pages.select(F.col(html).alias("_html"), *kept).mapInArrow(_extract, shape)
-    return rows.withColumnRenamed("_text", text)
+    shape = T.StructType([pages.schema[c] for c in kept] + [T.StructField(text, T.StringType())])
+    return pages.select(html, *kept).mapInArrow(_extract(text), shape)
