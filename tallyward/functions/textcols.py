@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 from tallyward import fixed
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often and however deep ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sql_tables(lowered: Column) -> Column:
     """Distinct names after FROM or JOIN in lower-cased text, in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(lowered, F.lit(fixed.TABLE_PATTERN), F.lit(1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward import fixed
@@ -43,3 +43,19 @@ def lookback_start(when: str | Column, grain: str) -> Column:
     """First instant that still counts for a usage report; months count 30 days each."""
     hours = {"hour": 1, "day": 24, "month": 24 * 30}[grain] * fixed.PERIODS[grain]
     return (at(when) - F.make_dt_interval(F.lit(0), F.lit(hours))).cast("timestamp_ntz")
+
+
+def within(frame: DataFrame, column: str, start: Column | None, end: Column, day: str | None = None) -> DataFrame:
+    """Rows with ``start <= column <= end``.
+
+    With ``day``, the column the table is partitioned by, the same bounds are
+    put on the day, so that Spark leaves out the other partitions.
+    """
+    inside = F.col(column) <= end
+    if day is not None:
+        inside = inside & (F.col(day) <= F.to_date(end))
+    if start is not None:
+        inside = inside & (F.col(column) >= start)
+        if day is not None:
+            inside = inside & (F.col(day) >= F.to_date(start))
+    return frame.filter(inside)

@@ -116,15 +116,17 @@ def violations_column(policy: Policy, agent: Column, sql: Column, parsed: Column
     named = textcols.names_in(textcols.identifiers(lowered), lowered, [p["lc"] for p in listed])
     personal = F.from_json(F.lit(json.dumps(listed)), "array<struct<t:string,c:string,lt:string,lc:string>>")
 
-    def blocked(names: Column) -> Column:
+    def blocked(of: Column) -> Column:
         hit = F.filter(
             personal,
-            lambda p: F.array_contains(names, p["lc"]) | (star & F.array_contains(bare_tables, p["lt"])),
+            lambda p: F.array_contains(of["names"], p["lc"]) | (of["star"] & F.array_contains(of["tables"], p["lt"])),
         )
         return F.transform(hit, lambda p: _violation("pii_check", p["t"], p["c"]))
 
+    # what a query names is bound once, or the words would be taken again for every personal column
+    of_query = F.struct(named.alias("names"), star.alias("star"), bare_tables.alias("tables"))
     # most queries name no personal column and end here
-    pii_hits = F.when((F.size(named) > 0) | star, blocked(named)).otherwise(none) if listed else none
+    pii_hits = F.when((F.size(named) > 0) | star, textcols.bound(of_query, blocked)).otherwise(none) if listed else none
 
     count, top = parsed["statement_count"], F.lit(policy.max_rows)
     found = {

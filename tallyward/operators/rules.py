@@ -90,7 +90,9 @@ def _identifier_hits(lowered_sql: Column, names: list[str]) -> Column:
     lowered = F.coalesce(lowered_sql, F.lit(""))
     found = textcols.names_in(textcols.identifiers(lowered), lowered, [n.lower() for n in names])
     listed = F.from_json(F.lit(json.dumps([{"n": n, "l": n.lower()} for n in names])), "array<struct<n:string,l:string>>")
-    return F.transform(F.filter(listed, lambda p: F.array_contains(found, p["l"])), lambda p: p["n"])
+    return textcols.bound(
+        found, lambda words: F.transform(F.filter(listed, lambda p: F.array_contains(words, p["l"])), lambda p: p["n"])
+    )
 
 
 def rule_status(rule: Rule, sql: Column, text: Column, pii_names: list[str]) -> Column:
