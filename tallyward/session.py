@@ -31,30 +31,68 @@ def build_session(app: str = "tallyward", cpus: int | None = None, **conf: str)
     return spark
 
 
+#: Folders made up for local sessions, and tables written so far, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A folder on this machine is only made up when the session runs in local
-    mode; on a cluster the executors could not see it.
+    That setting cannot be changed in a running session. Where it is missing,
+    a session in local mode gets a folder on this machine; on a cluster the
+    executors could not see that one, so the setting is asked for.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tallyward-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root is not None:
+        return root
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach before the session starts")
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tallyward-", dir="/tmp")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for one written table or stream."""
-    return f"{shared_root(spark)}/tallyward/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tallyward/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this session has written to the shared folder; how many there were.
+
+    To be called when the results that read them have been consumed. Only
+    paths that ``scratch`` has handed out are deleted.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy."""
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written copy.
+
+    The copy is Parquet, so what reads it takes only the columns it needs.
+    """
     spark = df.sparkSession
-    root = shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read from fewer files than there are cores.
+
+    A small table may come in one file that one task reads; work on every
+    character of it then wants a shuffle first. Tables of many files stay as
+    they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
