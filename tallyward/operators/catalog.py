@@ -151,32 +151,73 @@ def impact_ranking(
     return filled.withColumn("total", reduce(lambda a, b: a + b, [F.col(k) for k in kinds]))
 
 
-def lineage(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+def distances(steps: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """``root, node, hops``: the least number of edges from each start up to every node it is fed by.
+
+    ``steps`` has ``from_node, to_node``, ``starts`` a column ``root``. A start
+    is 0 hops from itself. Path doubling: known shortest ways are joined end to
+    end, so that after each round they are twice as long, and a way that is not
+    shorter than the known one is dropped, which ends cycles. First the ways
+    between all nodes above the starts are found in as many rounds as the
+    logarithm of the longest; ``depth`` bounds their length, ``None`` does not.
+    """
+    known = cut(
+        steps.filter(F.col("from_node") != F.col("to_node"))
+        .select(F.col("to_node").alias("root"), F.col("from_node").alias("node"), F.lit(1).alias("hops"))
+        .distinct(),
+        "lineage",
+    )
+    longest = 1
+    while depth is None or longest < depth:
+        first = known.select("root", F.col("node").alias("_mid"), F.col("hops").alias("_first"))
+        # ways of up to `longest` edges make all of up to twice as many; one part is always a longest one
+        second = known.select(F.col("root").alias("_mid"), "node", F.col("hops").alias("_second"))
+        tops = first.filter(F.col("_first") == longest)
+        doubled = tops.join(second, "_mid").filter(F.col("root") != F.col("node"))
+        doubled = doubled.select("root", "node", (F.col("_first") + F.col("_second")).alias("hops"))
+        if depth is not None:
+            doubled = doubled.filter(F.col("hops") <= depth)
+        shortest = known.unionByName(doubled).groupBy("root", "node").agg(F.min("hops").alias("hops"))
+        known = cut(shortest, "lineage")
+        longest *= 2
+        if known.filter(F.col("hops") == longest).isEmpty():
+            break
+    own = starts.select("root").distinct()
+    reached = known.join(own, "root", "left_semi")
+    return own.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).unionByName(reached)
+
+
+def lineage(edges: DataFrame, roots: DataFrame, depth: int | None = 3) -> DataFrame:
     """``root, from_node, to_node, depth``: upstream edges of every root, nearest depth.
 
-    One join per level over the edges that end in the last level's new nodes.
-    ``roots`` has a column ``root``. A node already reached from a root is not
-    expanded again, so cycles end.
+    ``roots`` has a column ``root``; ``depth=None`` follows the edges to their
+    end. An edge is as deep as the node it feeds is far from the root, plus
+    one. Cycles end.
     """
     steps = edges.select("from_node", "to_node").distinct()
-    frontier = roots.select("root", F.col("root").alias("node")).distinct()
-    reached, found = frontier, []
-    for level in range(1, depth + 1):
-        taken = frontier.join(steps, F.col("node") == F.col("to_node")).select(
-            "root", "from_node", "to_node", F.lit(level).alias("depth")
-        )
-        # each level reads the one before twice; written out, it is worked out once and the plan stays short
-        taken = cut(taken)
-        found.append(taken)
-        if level < depth:
-            frontier = (
-                taken.select("root", F.col("from_node").alias("node"))
-                .distinct()
-                .join(reached, ["root", "node"], "left_anti")
-            )
-            reached = reached.unionByName(frontier)
-    edges_found = reduce(DataFrame.unionByName, found)
-    return edges_found.groupBy("root", "from_node", "to_node").agg(F.min("depth").alias("depth"))
+    if depth is not None and depth <= STEPWISE:
+        nodes = _stepwise(steps, roots, depth)
+    else:
+        nodes = distances(steps, roots, None if depth is None else depth - 1)
+    found = nodes.join(steps, F.col("node") == F.col("to_node"))
+    return found.select("root", "from_node", "to_node", (F.col("hops") + 1).alias("depth"))
+
+
+#: Up to this depth one join a level from the roots alone is less work than the ways between all nodes.
+STEPWISE = 4
+
+
+def _stepwise(steps: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """``root, node, hops`` below ``depth``, one join a level; a node already reached is not gone through again."""
+    reached = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct()
+    for level in range(1, depth):
+        last = reached.filter(F.col("hops") == level - 1)
+        further = last.join(steps, F.col("node") == F.col("to_node")).select("root", F.col("from_node").alias("node"))
+        # the nearest way counts; both sides combine before they are shuffled
+        reached = reached.unionByName(further.withColumn("hops", F.lit(level))).groupBy("root", "node").agg(F.min("hops").alias("hops"))
+        # read twice by the next level, so it is written once
+        reached = cut(reached, "lineage") if level < depth - 1 else reached
+    return reached
 
 
 def lineage_of(edges: DataFrame, node: str, depth: int = 3) -> DataFrame:

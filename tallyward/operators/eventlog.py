@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +22,17 @@ class CaseKey:
 
 @dataclass(frozen=True)
 class EventLayout:
-    """Column names of an event table."""
+    """Column names of an event table; ``day`` is the one it is partitioned by, if any."""
 
     id: str = "event_id"
     type: str = "event_type"
     ts: str = "ts"
     keys: tuple[CaseKey, ...] = (CaseKey("user_id"),)
     metadata: str | None = "props"
+    day: str | None = None
+
+    def by_day(self, day: str) -> EventLayout:
+        return replace(self, day=day)
 
     def key(self, name: str) -> CaseKey:
         found = next((k for k in self.keys if k.name == name), None)
@@ -187,7 +191,7 @@ def freshness_by_type(
     do not match singular event types; ``prefix`` can give another pattern.
     The events are first reduced to one row per type.
     """
-    until = events.filter(F.col(layout.ts) <= timecols.at(as_of))
+    until = timecols.within(events, layout.ts, None, timecols.at(as_of), layout.day)
     newest = until.groupBy(F.col(layout.type).alias("_type")).agg(F.max(layout.ts).alias("_last"))
     capitalised = F.concat(F.upper(F.substring("table_name", 1, 1)), F.expr("substring(table_name, 2)"))
     wanted = capitalised if prefix is None else prefix

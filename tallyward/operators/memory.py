@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyward.functions.textcols import keywords
 from tallyward.plans.contains import contains_join
 from tallyward.plans.model import Policy
-from tallyward.session import cut
+from tallyward.session import cut, spread
 
 SHORTEST_WORD = 4
 
@@ -87,37 +87,62 @@ def _top(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
 
 
-def precedents_bulk(questions: DataFrame, outcomes: DataFrame, n: int = 5) -> DataFrame:
-    """``question_id, rank, outcome_id``: precedents for a table of questions.
+#: Outcomes of the first, newest block of a bulk search.
+NEWEST = 256
+
 
-    Only the newest ``n`` outcomes of each text token can be among the newest
-    ``n`` of a word inside it, and the same holds from words to questions, so
-    each step cuts to ``n`` per key before it joins. Spark makes that cut before
-    the shuffle as well while ``n`` is below its limit for ranks per group
-    (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless set). The
-    outcomes are read once; the cut table is written and read twice.
+def _newest_with(outcomes: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """``word, outcome_id, created_at``: the newest ``n`` outcomes whose text contains each word.
+
+    A word holds no white space, so it lies inside a token: the distinct tokens
+    are searched for the words, and the outcomes are joined by token.
     """
     both = F.lower(F.concat_ws(" ", "question", "decision_summary"))
-    tokens = outcomes.select(
-        "outcome_id", "created_at", F.explode(F.array_distinct(F.split(both, r"\s+"))).alias("token")
-    ).filter(F.length("token") >= SHORTEST_WORD)
-    by_token = cut(_top(tokens, "token", n).drop("_rank"))
+    listed = F.explode(F.array_distinct(F.split(both, r"\s+"))).alias("token")
+    tokens = spread(outcomes).select("outcome_id", "created_at", listed).filter(F.length("token") >= SHORTEST_WORD)
+    inside = contains_join(cut(tokens.select("token").distinct(), "tokens"), "token", words, "word", SHORTEST_WORD)
+    found = inside.join(tokens, "token").groupBy("word", "outcome_id").agg(F.max("created_at").alias("created_at"))
+    return _top(found, "word", n).drop("_rank")
+
 
+def precedents_bulk(questions: DataFrame, outcomes: DataFrame, n: int = 5) -> DataFrame:
+    """``question_id, rank, outcome_id``: precedents for a table of questions.
+
+    Only the newest ``n`` outcomes of a word can be among those of a question,
+    so each word is answered first. Words that ``n`` outcomes of the newest
+    block hold are settled there, as all others are older; that is where
+    frequent words end. The rest are rare, and few tokens of the older texts
+    hold them. Both sides of each shuffle are cut to ``n`` per key
+    while ``n`` is below Spark's limit for ranks per group
+    (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless set).
+    ``outcome_id`` identifies an outcome.
+    """
     asked = questions.select("question_id", keywords(F.col("question")).alias("_words"))
     asked = asked.select(
         "question_id",
         F.explode(F.when(F.size("_words") > 0, F.array_distinct("_words")).otherwise(F.array(F.lit("")))).alias("word"),
     )
-    words = asked.filter(F.col("word") != "").select("word").distinct()
-    vocabulary = by_token.select("token").distinct()
-    inside = contains_join(vocabulary, "token", words, "word", SHORTEST_WORD)
-
-    per_word = inside.join(by_token, "token").groupBy("word", "outcome_id").agg(F.max("created_at").alias("created_at"))
-    newest = outcomes.orderBy(F.col("created_at").desc(), F.col("outcome_id").desc()).limit(n)
-    by_word = _top(per_word, "word", n).drop("_rank").unionByName(
-        newest.select(F.lit("").alias("word"), "outcome_id", "created_at")
-    )
-    per_question = asked.join(by_word, "word").groupBy("question_id", "outcome_id").agg(
+    words = cut(asked.filter(F.col("word") != "").select("word").distinct(), "words")
+
+    newest_first = [F.col("created_at").desc(), F.col("outcome_id").desc()]
+    ends = outcomes.select("created_at", "outcome_id").orderBy(*newest_first).limit(max(NEWEST, n))
+    # one row: the oldest of the block
+    last = ends.agg(F.min(F.struct("created_at", "outcome_id")).alias("end")).first()["end"]
+    place = F.struct("created_at", "outcome_id")
+    if last is None:
+        return questions.select("question_id", F.lit(1).cast("bigint").alias("rank")).join(outcomes.select("outcome_id"), F.lit(False))
+    edge = F.struct(F.lit(last["created_at"]).alias("created_at"), F.lit(last["outcome_id"]).alias("outcome_id"))
+    kinds = f"struct<created_at:{outcomes.schema['created_at'].dataType.simpleString()},outcome_id:{outcomes.schema['outcome_id'].dataType.simpleString()}>"
+    older = place < edge.cast(kinds)
+
+    settled = cut(_newest_with(outcomes.filter(~older), words, n), "newest")
+    open_words = words.join(settled.groupBy("word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= n), "word", "left_anti")
+    open_words = cut(open_words, "rare")
+    rare = _newest_with(outcomes.filter(older), open_words, n)
+    by_word = _top(settled.unionByName(rare), "word", n).drop("_rank")
+
+    newest = outcomes.orderBy(*newest_first).limit(n).select(F.lit("").alias("word"), "outcome_id", "created_at")
+    per_question = asked.join(by_word.unionByName(newest), "word").groupBy("question_id", "outcome_id").agg(
         F.max("created_at").alias("created_at")
     )
     return _top(per_question, "question_id", n).select(

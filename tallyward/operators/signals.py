@@ -23,10 +23,10 @@ def whole_number(name: str, value, most: int | None = None) -> int:
     return int(value)
 
 
-def _recent(frame: DataFrame, column: str, as_of: str, days) -> DataFrame:
-    """Rows of the window, both ends included."""
+def _recent(frame: DataFrame, column: str, as_of: str, days, day: str | None = None) -> DataFrame:
+    """Rows of the window, both ends included; of a log partitioned by ``day`` only the days it touches are read."""
     start = timecols.days_before(as_of, whole_number("days", days, MAX_DAYS))
-    return frame.filter((F.col(column) >= start) & (F.col(column) <= timecols.at(as_of)))
+    return timecols.within(frame, column, start, timecols.at(as_of), day)
 
 
 def event_distribution(
@@ -36,7 +36,7 @@ def event_distribution(
 
     The total is a window over the rows per type, so the events are read once.
     """
-    counted = _recent(events, layout.ts, as_of, days).groupBy(layout.type).agg(F.count("*").alias("count"))
+    counted = _recent(events, layout.ts, as_of, days, layout.day).groupBy(layout.type).agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy())
     share = F.round((F.col("count") * 100.0 / total).cast("double"), 1)
     return _head(counted.withColumn("percentage", share), [F.col("count").desc(), F.col(layout.type)], top)
@@ -59,7 +59,7 @@ def failure_rates(
     ``kinds`` maps output names to event types, ``ratios`` an output name to
     a pair ``(part, rest)`` reported as part / (part + rest).
     """
-    recent = _recent(events, layout.ts, as_of, days)
+    recent = _recent(events, layout.ts, as_of, days, layout.day)
     counts = recent.agg(*[F.count_if(F.col(layout.type) == t).alias(n) for n, t in kinds.items()])
     for name, (part, rest) in (ratios or {}).items():
         whole = F.nullif((F.col(part) + F.col(rest)).cast("double"), F.lit(0.0))
@@ -86,7 +86,7 @@ def step_pairs(
     types = sorted(set(from_types) | set(to_types))
     stage = {t: f"t{i}" for i, t in enumerate(types)}
     moments = (
-        _recent(events, layout.ts, as_of, days)
+        _recent(events, layout.ts, as_of, days, layout.day)
         .filter(F.col(key).isNotNull() & F.col(layout.type).isin(*types))
         .groupBy(F.col(key).alias("case_id"), timecols.micros(F.col(layout.ts)).alias("us"))
         .agg(*[F.count_if(F.col(layout.type) == t).alias(c) for t, c in stage.items()])

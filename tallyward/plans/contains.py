@@ -1,30 +1,82 @@
-"""Substring matches between two tables as an equi-join.
+"""Substring matches between two tables as an equi-join on selective pieces.
 
 ``text LIKE '%phrase%'`` between two tables would compare every pair. Here
-each phrase is looked up by its last few characters: the texts list their
-distinct pieces of those lengths that end a phrase, the phrases are joined on
-the piece that ends them, and only those candidates are compared in full. A
-long phrase is looked up by a long, selective piece.
+each phrase is looked up by one piece of itself, the one that is rarest in the
+texts, as told by a table of piece frequencies. The texts list only pieces that
+some phrase is looked up by: a filter of fixed size over the hashes of these
+pieces is part of the plan and drops all other pieces before any row is made of
+them. The few that pass meet the phrases in a join, and those candidates are
+compared in full. Neither frequencies nor filter decide what matches, only how
+many candidates there are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE_LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16)
+from tallyward.session import cut, spread
+
+#: A phrase is looked up by pieces of the longest of these lengths that it has room for.
+PIECE_LENGTHS = (1, 2, 3, 4, 6)
+#: One text in so many is counted for the frequencies of pieces.
+COUNTED = 16
+#: Slots of the filter, one byte each, whatever the number of phrases; with more phrases more pieces pass.
+SLOTS = 1 << 18
 
 
 def _pieces(text: Column, length: int) -> Column:
-    """Every distinct run of ``length`` characters; a look-ahead lets the runs overlap."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+    """Every run of ``length`` characters; a look-ahead lets the runs overlap."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+
+def _all_pieces(text: Column, lengths: list[int]) -> Column:
+    return _pieces(text, lengths[0]) if len(lengths) == 1 else F.concat(*[_pieces(text, n) for n in lengths])
+
+
+def _by_length(found: dict[int, Column], n: Column, kind: str) -> Column:
+    return reduce(lambda out, item: F.when(n == item[0], item[1]).otherwise(out), found.items(), F.lit(None).cast(kind))
+
+
+def rarest_pieces(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, shortest: int = 1) -> DataFrame:
+    """``_looked, _n, _piece``: each distinct phrase, its piece that is rarest in the texts, and that piece's length.
+
+    Frequencies are counted in a share of the texts that is drawn by their
+    hash, and only for pieces that phrases have. Phrases shorter than
+    ``shortest`` are left out.
+    """
+    lengths = sorted({n for n in PIECE_LENGTHS if n >= shortest} | {shortest})
+    listed = phrases.select(F.col(phrase).alias("_looked")).filter(F.length("_looked") >= shortest).distinct()
+    longest = reduce(lambda out, n: F.when(F.length("_looked") >= n, n).otherwise(out), lengths, F.lit(None).cast("int"))
+    own = _by_length({n: _pieces(F.col("_looked"), n) for n in lengths}, F.col("_n"), "array<string>")
+    parts = listed.withColumn("_n", longest).select("_looked", "_n", F.explode(F.array_distinct(own)).alias("_piece"))
+    sample = texts.filter(F.pmod(F.xxhash64(text), F.lit(COUNTED)) == 0)
+    seen = sample.select(F.explode(_all_pieces(F.col(text), lengths)).alias("_piece"))
+    counts = seen.groupBy("_piece").agg(F.count("*").alias("_count"))
+    by_count = F.struct(F.coalesce("_count", F.lit(0)), F.col("_piece"))
+    chosen = parts.join(counts, "_piece", "left").groupBy("_looked", "_n").agg(F.min_by("_piece", by_count).alias("_piece"))
+    return cut(chosen, "rarest")
+
+
+def _slot(piece: Column) -> Column:
+    return F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")
 
 
-def _ending(phrase: Column, lengths: tuple[int, ...]) -> Column:
-    piece = F.lit(None).cast("string")
-    for n in lengths:
-        piece = F.when(F.length(phrase) >= n, F.right(phrase, F.lit(n))).otherwise(piece)
-    return piece
+def looked_up(text: Column, chosen: DataFrame) -> Column:
+    """The distinct pieces of a text that some phrase may be looked up by.
+
+    At most ``SLOTS`` slot numbers for each piece length reach the driver.
+    """
+    used = chosen.select("_n", _slot(F.col("_piece")).alias("slot")).distinct().collect()
+    slots = bytearray(SLOTS)
+    for row in used:
+        slots[row.slot] = 1
+    in_use = F.lit(slots)
+    pieces = _all_pieces(text, sorted({row["_n"] for row in used}) or [1])
+    known = F.filter(pieces, lambda p: F.substring(in_use, _slot(p) + 1, F.lit(1)) == F.lit(bytearray([1])))
+    return F.array_distinct(known)
 
 
 def contains_join(
@@ -41,15 +93,20 @@ def contains_join(
     pieces; shorter phrases do not match, nor do empty ones. Short texts
     travel with their pieces; for longer ones give ``ids``, the columns that
     identify a text row, and only these travel until the candidates are
-    compared.
+    compared. Both tables are read more than once.
     """
-    lengths = tuple(sorted({n for n in PIECE_LENGTHS if n >= shortest} | {shortest}))
-    keyed = phrases.withColumn("_piece", _ending(F.col(phrase), lengths)).filter(F.col("_piece").isNotNull())
-    # one aggregate over the phrases tells which of the eight lengths are in use; texts give only these
-    used = sorted(r[0] for r in keyed.select(F.length("_piece")).distinct().collect()) or [shortest]
-    pieces = F.explode(F.concat(*[_pieces(F.col(text), n) for n in used])).alias("_piece")
+    chosen = rarest_pieces(texts, text, phrases, phrase, shortest)
+    keyed = phrases.join(chosen.drop("_n"), phrases[phrase] == chosen["_looked"]).drop("_looked")
     carried = [F.col(c) for c in (texts.columns if ids is None else ids)]
-    candidates = texts.select(*carried, pieces).join(keyed, "_piece").drop("_piece")
+    listed = spread(texts).select(*carried, F.explode(looked_up(F.col(text), chosen)).alias("_piece"))
+    candidates = listed.join(keyed, "_piece").drop("_piece")
     if ids is not None:
         candidates = candidates.join(texts, ids)
     return candidates.filter(F.contains(F.col(text), F.col(phrase)))
+
+
+def piece_load(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, shortest: int = 1) -> DataFrame:
+    """One row: ``characters`` of the texts and the ``rows`` that ``contains_join`` makes of their pieces."""
+    chosen = rarest_pieces(texts, text, phrases, phrase, shortest)
+    rows = F.size(looked_up(F.col(text), chosen))
+    return texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters"), F.coalesce(F.sum(rows), F.lit(0)).alias("rows"))

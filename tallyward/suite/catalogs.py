@@ -89,6 +89,19 @@ def c04(spark, folder):
     return catalog.lineage(edges, edges.select(F.col("to_node").alias("root")), 3)
 
 
+@add(
+    "c04_lineage_full_depth",
+    """with recursive up as (
+           select to_node as root, from_node, to_node, 1 as depth from v_edges
+           union all select up.root, e.from_node, e.to_node, depth + 1 from up join v_edges e on e.to_node = up.from_node)
+       select root, from_node, to_node, min(depth) as depth from up group by 1, 2, 3""",
+    ("v_edges",),
+)
+def c04_full(spark, folder):
+    edges = view(spark, folder, "v_edges")
+    return catalog.lineage(edges, edges.select(F.col("to_node").alias("root")), None)
+
+
 @add(
     "c04_lineage_of_one",
     """with recursive up as (
