@@ -12,25 +12,26 @@ NAME = "op2_quality_rules"
 
 def query(spark, folder):
     docs = load(spark, folder, "documents")
-    return quality.quality_verdicts(docs, ["doc_id"]).drop("lang", "source")
+    rows = quality.quality_verdicts(docs, ["doc_id"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals")
 
 
 def _fence_sql() -> str:
     out = []
-    for name, (least, both) in quality.MEASURES.items():
-        spread = f"{quality.REACH} * greatest(q3 - q1, {least})"
-        out.append(f"max(case when measure = '{name}' then q3 + {spread} end) as high_{name}")
+    for name, (_, both) in quality.MEASURES.items():
+        out.append(f"max(case when measure = '{name}' then q3 end) as top_{name}, max(case when measure = '{name}' then {quality.REACH} * greatest(q3 - q2, {quality.GAMMA - 1!r} * q3) end) as up_{name}")
         if both:
-            out.append(f"max(case when measure = '{name}' then q1 - {spread} end) as low_{name}")
+            out.append(f"max(case when measure = '{name}' then q1 end) as bottom_{name}, max(case when measure = '{name}' then {quality.REACH} * greatest(q2 - q1, {quality.GAMMA - 1!r} * q1) end) as down_{name}")
     return ", ".join(out)
 
 
 def _inside_sql() -> str:
     out = []
-    for name, (_, both) in quality.MEASURES.items():
-        out.append(f"{name} <= high_{name}")
+    for name, (one, both) in quality.MEASURES.items():
+        rounding = f"{quality.OCCURRENCES} * ({one.replace(' / ', '::double / nullif(')}, 0))"
+        out.append(f"{name} <= top_{name} + greatest(up_{name}, {rounding})")
         if both:
-            out.append(f"{name} >= low_{name}")
+            out.append(f"{name} >= bottom_{name} - greatest(down_{name}, {rounding})")
     return " and ".join(out)
 
 
@@ -38,7 +39,7 @@ def _quartile_sql(keys: str, upper: str) -> str:
     by = f"{keys}, " if keys else ""
     return f"""
         select {by} measure, min(case when 4 * upto >= total then v end) as q1,
-               min(case when 4 * upto >= 3 * total then v end) as q3, max(total) as total
+               min(case when 2 * upto >= total then v end) as q2, min(case when 4 * upto >= 3 * total then v end) as q3, max(total) as total
         from (select {by} measure, case when bucket < 0 then 0.0 else {2.0 / (quality.GAMMA + 1)!r} * pow({quality.GAMMA}, bucket::double) end as v,
                      sum(n) over (partition by {by} measure order by bucket) as upto, sum(n) over (partition by {by} measure) as total
               from (select {by} measure, bucket, sum(n) as n from {upper} group by {by} measure, bucket))
@@ -71,15 +72,16 @@ def verdict_sql(counts: str) -> str:
     return f"""
     counted as (select * replace (coalesce(n_repeat_words, 0) as n_repeat_words, n_words < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * n_words as base_failed) from ({counts})),
     measures as (select *, case when n_words > 0 then 1000 * n_symbols // n_words end as symbols, case when n_lines > 0 then 1000 * n_dup_lines // n_lines end as dup_lines,
-                        case when n_words > 0 then 1000 * n_repeat_words // n_words end as repeats, case when word_chars > 0 then 1000 * n_capitals // word_chars end as capitals,
+                        case when n_lines > 0 then 10 * n_words // n_lines end as line_words, case when word_chars > 0 then 1000 * n_capitals // word_chars end as capitals,
                         case when n_words > 0 then 100 * word_chars // n_words end as word_length from counted),
     sketch as (select lang, source, measure, case when v <= 0 then -1 else ceil(ln(v) / {math.log(quality.GAMMA)!r})::int end as bucket, count(*) as n
-               from (select lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) as measure,
-                            unnest([symbols, dup_lines, repeats, capitals, word_length]) as v from measures where not base_failed)
+               from (select lang, source, unnest(['symbols', 'dup_lines', 'line_words', 'capitals', 'word_length']) as measure,
+                            unnest([symbols, dup_lines, line_words, capitals, word_length]) as v from measures where not base_failed)
                group by all),
     by_group as ({_quartile_sql("lang, source", "sketch")}), by_lang as ({_quartile_sql("lang", "sketch")}), by_all as ({_quartile_sql("", "sketch")}),
     used as (select g.lang, g.source, g.measure,
                     case when g.total >= {quality.LEAST_GROUP} then g.q1 when l.total >= {quality.LEAST_GROUP} then l.q1 else a.q1 end as q1,
+                    case when g.total >= {quality.LEAST_GROUP} then g.q2 when l.total >= {quality.LEAST_GROUP} then l.q2 else a.q2 end as q2,
                     case when g.total >= {quality.LEAST_GROUP} then g.q3 when l.total >= {quality.LEAST_GROUP} then l.q3 else a.q3 end as q3
              from by_group g join by_lang l on g.lang is not distinct from l.lang and g.measure = l.measure join by_all a on g.measure = a.measure),
     fence as (select lang, source, {_fence_sql()} from used group by lang, source),
@@ -90,4 +92,4 @@ def verdict_sql(counts: str) -> str:
 SQL = f"""
 with numbered as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
 {verdict_sql(counts_sql("numbered"))}
-select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_capitals, n_repeat_words, base_failed, kept from verdict"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_capitals from verdict"""

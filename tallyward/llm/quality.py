@@ -5,7 +5,11 @@ measure is summarised by a quantile sketch with logarithmic buckets: a bucket
 holds all values within one factor ``GAMMA``, so a quantile read from it is off
 by at most one percent of its value, and sketches merge by adding counts. A
 document fails when a measure lies outside the fences that its own group's
-quartiles set. A group with few documents uses the merged sketch of its
+quartiles set: twelve times the distance from median to quartile beyond that
+quartile, which is eight standard deviations of a normal measure, and as a quarter of
+a group may be junk without moving them. Where a measure is the same for most of
+a group that distance is 0; a distance counts as no less than the two percent
+that a bucket spans, and a document may pass the quartile by two occurrences. A group with few documents uses the merged sketch of its
 language, and a rare language that of the whole corpus.
 
 Only built-in functions are used. The bucket counts combine before they are
@@ -29,15 +33,17 @@ from tallyward.llm.common import SPACE, marks, same, stored, whole, words_of
 GAMMA = 1.02
 #: Documents a group needs for thresholds of its own.
 LEAST_GROUP = 200
-#: Fences lie this many spreads outside the quartiles.
-REACH = 4.0
-#: Measure: (the least spread that counts, whether low values fail as well).
+#: Fences lie this many spreads outside the outer quartiles; a spread is what lies between quartile and median.
+REACH = 12
+#: A document is never rejected for so few occurrences beyond the quartile.
+OCCURRENCES = 2
+#: Measure: (what one occurrence adds to it, whether low values fail as well).
 MEASURES = {
-    "symbols": (25.0, False),
-    "dup_lines": (100.0, False),
-    "repeats": (50.0, False),
-    "capitals": (40.0, False),
-    "word_length": (50.0, True),
+    "symbols": ("1000 / n_words", False),
+    "dup_lines": ("1000 / n_lines", False),
+    "line_words": ("10 / n_lines", True),
+    "capitals": ("1000 / word_chars", False),
+    "word_length": ("100 / n_words", True),
 }
 
 
@@ -95,11 +101,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _measures() -> dict[str, Column]:
-    """Whole numbers per thousand words, lines or characters."""
+    """Whole numbers per thousand words, lines or characters; tenths of words a line, hundredths of characters a word."""
     return {
         "symbols": F.expr("1000 * n_symbols div nullif(n_words, 0)"),
         "dup_lines": F.expr("1000 * n_dup_lines div nullif(n_lines, 0)"),
-        "repeats": F.expr("1000 * n_repeat_words div nullif(n_words, 0)"),
+        "line_words": F.expr("10 * n_words div nullif(n_lines, 0)"),
         "capitals": F.expr("1000 * n_capitals div nullif(word_chars, 0)"),
         "word_length": F.expr("100 * word_chars div nullif(n_words, 0)"),
     }
@@ -119,7 +125,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, measure, q1, q3, total`` read from sketches merged over ``keys``."""
+    """``keys, measure, q1, q2, q3, total`` read from sketches merged over ``keys``."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy(*keys, "measure").orderBy("bucket")
     upto = merged.select(
@@ -132,13 +138,14 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
     return upto.groupBy(*keys, "measure").agg(
         F.min(F.when(4 * F.col("upto") >= F.col("total"), value)).alias("q1"),
+        F.min(F.when(2 * F.col("upto") >= F.col("total"), value)).alias("q2"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), value)).alias("q3"),
         F.max("total").alias("total"),
     )
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """``lang, source`` and ``low_<measure>, high_<measure>`` for each group."""
+    """For each ``lang, source`` and measure the upper quartile ``top_`` and the way ``up_`` from it to the fence, and the same downwards."""
     level = {
         "g": quartiles(sketch, ["lang", "source"]),
         "l": quartiles(sketch, ["lang"]),
@@ -147,7 +154,7 @@ def fences(sketch: DataFrame) -> DataFrame:
     g, la, al = (
         q.select(
             *[F.col(c).alias(f"{name}_{c}") for c in q.columns if c in ("lang", "source", "measure")],
-            F.struct("q1", "q3", "total").alias(name),
+            F.struct("q1", "q2", "q3", "total").alias(name),
         )
         for name, q in level.items()
     )
@@ -163,12 +170,13 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.col("g_measure").alias("measure"), used.alias("q")
     )
     picked = []
-    for name, (least, both) in MEASURES.items():
-        spread = REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(least))
+    for name, (_, both) in MEASURES.items():
         mine = F.col("measure") == name
-        picked.append(F.max(F.when(mine, F.col("q.q3") + spread)).alias(f"high_{name}"))
+        picked.append(F.max(F.when(mine, F.col("q.q3"))).alias(f"top_{name}"))
+        picked.append(F.max(F.when(mine, REACH * F.greatest(F.col("q.q3") - F.col("q.q2"), (GAMMA - 1) * F.col("q.q3")))).alias(f"up_{name}"))
         if both:
-            picked.append(F.max(F.when(mine, F.col("q.q1") - spread)).alias(f"low_{name}"))
+            picked.append(F.max(F.when(mine, F.col("q.q1"))).alias(f"bottom_{name}"))
+            picked.append(F.max(F.when(mine, REACH * F.greatest(F.col("q.q2") - F.col("q.q1"), (GAMMA - 1) * F.col("q.q1")))).alias(f"down_{name}"))
     return rows.groupBy("lang", "source").agg(*picked)
 
 
@@ -180,9 +188,11 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     )
     inside = ~F.col("base_failed")
     for name, value in _measures().items():
-        inside = inside & (value <= F.col(f"_f_high_{name}"))
-        if MEASURES[name][1]:
-            inside = inside & (value >= F.col(f"_f_low_{name}"))
+        one, both = MEASURES[name]
+        rounding = OCCURRENCES * F.expr(f"cast({one.replace(' / ', ' as double) / nullif(')}, 0)")
+        inside = inside & (value <= F.col(f"_f_top_{name}") + F.greatest(F.col(f"_f_up_{name}"), rounding))
+        if both:
+            inside = inside & (value >= F.col(f"_f_bottom_{name}") - F.greatest(F.col(f"_f_down_{name}"), rounding))
     return joined.select(*rows.columns, F.coalesce(inside, F.lit(False)).alias("kept"))
 
 
