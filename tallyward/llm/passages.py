@@ -6,9 +6,11 @@ them: after each word whose pair with the next one has the least hash within
 ``REACH`` pairs on both sides. Such a cut depends on these words alone, so it
 falls at the same words of a passage wherever that is set, and no piece of a
 sentence has ``REACH`` words or fewer. Units are compared in lower case with
-white space runs as one blank, and every unit that occurs earlier is taken out;
-``least_words`` asks for runs of so many words instead. The removed pieces keep
-their offsets in the original text.
+white space runs as one blank. A unit that occurs earlier is taken out where it
+is part of a run of ``least_words`` words of such units, one line or several: a
+short sentence or line that two texts share by chance or habit is no passage.
+With 1, every later unit goes. The removed pieces keep their offsets in the
+original text.
 
 Defined cases: a null text counts as empty and stays as it is; a text of any
 length is worked on whole; the earliest unit is that of the smallest id (null
@@ -40,9 +42,15 @@ _UNIT = re.compile(r"[^\n]*?(?:[.!?][)\"'»”]*[\x20\t\r]+|\n|\Z)")
 
 def _cuts(words: list[str]) -> list[int]:
     """The numbers of the words that start a piece of a sentence, beside the first."""
-    h = [xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:], strict=False)]
-    # of equal hashes the first is the least
-    return [i + 1 for i in range(REACH, len(h) - REACH) if h[i] == min(h[i - REACH : i + REACH + 1]) and h[i] not in h[i - REACH : i]]
+    of = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    one = [of[w] for w in words]
+    h = [(a * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF for a, b in zip(one, one[1:], strict=False)]
+    # of equal hashes the first is the least; most pairs are told by their neighbours
+    return [
+        i + 1
+        for i in range(REACH, len(h) - REACH)
+        if h[i - 1] > h[i] <= h[i + 1] and h[i] == min(h[i - REACH : i + REACH + 1]) and h[i] not in h[i - REACH : i]
+    ]
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:

@@ -1,6 +1,7 @@
 """Each registered query against its SQL, or a plain version of the same thing."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -8,9 +9,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
-from tallyward.llm import fingerprints, packing, passages
+from tallyward.llm import fingerprints, packing
 from tallyward.llm.queries import ORACLES
 
 from .conftest import WORD
@@ -19,7 +21,8 @@ from .conftest import WORD
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(name, small, result):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{small}/documents.parquet')")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{small}/{table}.parquet')")
     cursor = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     got = result(name)
@@ -70,17 +73,39 @@ def test_language_model(result, text_rows):
     assert -6.5 < model / known < -2.5
 
 
+def units_of(text):
+    """(start, end, words) of sentences and of their pieces, cut after the pair of words with the least hash for five pairs on both sides."""
+    out, at = [], 0
+    while at < len(text):
+        mark = re.compile(r"[.!?][)\"'»”]*[ \t\r]+|\n").search(text, at)
+        end = mark.end() if mark else len(text)
+        words = [(m.start(), m[0].lower()) for m in re.compile(r"\S+").finditer(text, at, end)]
+        digest = [xxhash.xxh3_64_intdigest(w) for _, w in words]
+        pairs = [(x * 0x9E3779B97F4A7C15 + y) % 2**64 for x, y in itertools.pairwise(digest)]
+        starts = [i + 1 for i in range(5, len(pairs) - 5) if pairs[i - 5 : i + 6].index(min(pairs[i - 5 : i + 6])) == 5]
+        edges = [at, *[words[i][0] for i in starts], end]
+        own = [0, *starts, len(words)]
+        out += [(edges[k], edges[k + 1], tuple(w for _, w in words[own[k] : own[k + 1]])) for k in range(len(edges) - 1)]
+        at = end
+    return out
+
+
 def test_passages(result, text_rows):
     seen, got = set(), {r.doc_id: r for r in result("op6_")}
     for doc, text in text_rows:
-        units = passages.sentences(text)
-        assert "".join(text[a:b] for a, b, _ in units) == text
-        later = set()
-        for i, (_, _, unit) in enumerate(units):
-            if unit and unit in seen:
-                later.add(i)
-            seen.add(unit)
-        spans = passages.cut_spans(text, later)
+        runs = [[]]
+        for a, b, words in units_of(text):
+            if words and words not in seen:
+                runs.append([])
+            elif words or runs[-1]:
+                runs[-1].append((a, b, len(words)))
+            seen.add(words)
+        spans = []
+        for run in runs:
+            while run and not run[-1][2]:
+                run.pop()
+            if sum(n for _, _, n in run) >= 13:
+                spans.append((run[0][0], run[-1][1]))
         kept = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in spans))
         assert got[doc].spans == ",".join(f"{a}:{b}" for a, b in spans)
         assert got[doc].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
