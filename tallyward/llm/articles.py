@@ -62,6 +62,9 @@ CUT_WORDS = frozenset(
     " related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar"
     " trending widget widgets".split()
 )
+#: Beginnings and ends that say the same in words run together.
+CUT_STARTS = ("adsense", "advert", "breadcrumb", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+CUT_ENDS = ("breadcrumbs", "comments", "footer", "navbar", "newsletter", "sidebar")
 #: Said of an element that has, or lacks, such a part.
 ABOUT = frozenset(("has", "with", "no", "without", "hide"))
 LEVELS = 5
@@ -128,7 +131,8 @@ class _Tree(HTMLParser):
             self.close_to(node)
         elif tag == "a" and (node := self.nearest({"a"}, BLOCK)):
             self.close_to(node)
-        new = Node(tag, {k: (v or "").lower() for k, v in attrs}, self.at)
+        # words run together with capitals are told apart before these go
+        new = Node(tag, {k: re.sub("(?<=[a-z])(?=[A-Z])", "-", v or "").lower() for k, v in attrs}, self.at)
         self.at.items.append(new)
         self.order.append(new)
         if tag != "hr":
@@ -152,11 +156,15 @@ def _words(name: str) -> list[str]:
     return re.findall(r"[a-z]+", name)
 
 
+def _cut_word(word: str) -> bool:
+    return word in CUT_WORDS or word.startswith(CUT_STARTS) or word.endswith(CUT_ENDS)
+
+
 def _named_off(node: Node) -> bool:
     """Whether class or id says that this is no reading text."""
     for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
         words = _words(name)
-        hits = [w for i, w in enumerate(words) if (w in CUT_WORDS or (w == "header" and not node.parent.article)) and not ABOUT & set(words[:i])]
+        hits = [w for i, w in enumerate(words) if (_cut_word(w) or (w == "header" and not node.parent.article)) and not ABOUT & set(words[:i])]
         # a whole article is only left out by a name that says nothing else
         if hits and (not node.marked or len(words) == 1):
             return True

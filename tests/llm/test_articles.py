@@ -24,6 +24,8 @@ LAYOUTS = {
     "form around the page": f"<form><div class=nav>menu</div><div class=body><h1>Title</h1>{BODY}</div></form>",
     "no containers": f"<body><nav>n</nav><h1>Title</h1>{BODY}<footer>f</footer>",
     "hidden parts": f"<article><h1>Title</h1><p hidden>x</p><div style='display: none'>y</div><script>var t='</p>';</script><style>p{{}}</style>{BODY}<!-- z --></article>",
+    "words run together": f"<div id='siteHeader'>s</div><div class='mainContent'><h1>Title</h1>{BODY}<div class='cookiebar'>c, c, c</div><div id='userComments'><p>Nice, really</p></div>"
+    "<section class='post-footnotes'></section></div><div id='pageFooter'>f</div>",
     "names that only mention a part": f"<body class='has-sidebar'><div class='post with-comments'><h1>Title</h1>{BODY}</div><div class='ad-slot'>buy, buy, buy</div></body>",
 }
 
