@@ -48,7 +48,6 @@ AGGREGATIONS = ["count", "count_distinct", "sum", "avg", "min", "max"]
 ADDITIVE = ["count", "sum", "avg"]
 COMPARISONS = ["=", "!=", "<", "<=", ">", ">="]
 GRAINS = ["year", "quarter", "month", "week", "day", "hour"]
-DEFAULT_LIMIT = 1000
 MAX_LIMIT = 50000
 
 # Ledger.

@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyward.functions.textcols import keywords
 from tallyward.plans.contains import contains_join
@@ -130,10 +131,10 @@ def precedents_bulk(questions: DataFrame, outcomes: DataFrame, n: int = 5) -> Da
     last = ends.agg(F.min(F.struct("created_at", "outcome_id")).alias("end")).first()["end"]
     place = F.struct("created_at", "outcome_id")
     if last is None:
-        return questions.select("question_id", F.lit(1).cast("bigint").alias("rank")).join(outcomes.select("outcome_id"), F.lit(False))
-    edge = F.struct(F.lit(last["created_at"]).alias("created_at"), F.lit(last["outcome_id"]).alias("outcome_id"))
-    kinds = f"struct<created_at:{outcomes.schema['created_at'].dataType.simpleString()},outcome_id:{outcomes.schema['outcome_id'].dataType.simpleString()}>"
-    older = place < edge.cast(kinds)
+        found = [questions.schema["question_id"], T.StructField("rank", T.LongType()), outcomes.schema["outcome_id"]]
+        return questions.sparkSession.createDataFrame([], T.StructType(found))
+    edge = F.struct(*[F.lit(last[c]).cast(outcomes.schema[c].dataType).alias(c) for c in ("created_at", "outcome_id")])
+    older = place < edge
 
     settled = cut(_newest_with(outcomes.filter(~older), words, n), "newest")
     open_words = words.join(settled.groupBy("word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= n), "word", "left_anti")

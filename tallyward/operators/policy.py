@@ -240,8 +240,11 @@ def _newest(log: DataFrame, since: str | None, limit: int | None) -> DataFrame:
 
 def policy_drift(log: DataFrame, policy: Policy, since: str | None = None, limit: int | None = 100) -> DataFrame:
     """One row: decisions replayed, how many changed and the rate; ``limit=None`` takes the whole log."""
-    judged = replay(_newest(log, since, limit), policy)
-    total, changed = F.count("*"), F.count_if("changed")
+    return drift_rate(replay(_newest(log, since, limit), policy), F.count("*"), F.count_if("changed"))
+
+
+def drift_rate(judged: DataFrame, total: Column, changed: Column) -> DataFrame:
+    """``total, changed, drift_rate`` from aggregates over ``judged``."""
     rate = F.format_string("%.1f%%", F.coalesce(changed * 100.0 / F.nullif(total, F.lit(0)), F.lit(0.0)))
     return judged.agg(total.alias("total"), changed.alias("changed"), rate.alias("drift_rate"))
 

@@ -83,6 +83,13 @@ def used_providers(messages: DataFrame, chats: DataFrame, project: str | None =
     return named.join(scoped.select("chat_id"), "chat_id", "left_semi").select("provider").distinct()
 
 
+def _span_start(newest: Column, span: str) -> Column:
+    months = {"3m": 3, "6m": 6, "1y": 12}.get(span)
+    if months is None:
+        return newest - F.make_dt_interval(F.lit({"7d": 7, "30d": 30}[span]))
+    return newest - F.make_ym_interval(F.lit(0), F.lit(months))
+
+
 def range_filter(df: DataFrame, x: str, span: str) -> DataFrame:
     """Rows within 7d, 30d, 3m, 6m or 1y of the newest date; ``all`` keeps everything.
 
@@ -92,13 +99,18 @@ def range_filter(df: DataFrame, x: str, span: str) -> DataFrame:
     if span == "all":
         return df
     moment = F.col(x).try_cast("timestamp_ntz")
+    return df.filter(moment >= _span_start(df.agg(F.max(moment)).scalar(), span))
+
+
+def range_rows(df: DataFrame, x: str, spans: list[str]) -> DataFrame:
+    """Rows with a column ``span``, once for each of ``spans`` that ``range_filter`` keeps them in.
+
+    The newest date is worked out once for all of them.
+    """
+    moment = F.col(x).try_cast("timestamp_ntz")
     newest = df.agg(F.max(moment)).scalar()
-    months = {"3m": 3, "6m": 6, "1y": 12}.get(span)
-    if months is None:
-        start = newest - F.make_dt_interval(F.lit({"7d": 7, "30d": 30}[span]))
-    else:
-        start = newest - F.make_ym_interval(F.lit(0), F.lit(months))
-    return df.filter(moment >= start)
+    held = [F.lit(s) if s == "all" else F.when(moment >= _span_start(newest, s), F.lit(s)) for s in spans]
+    return df.withColumn("span", F.explode(F.array_compact(F.array(*held))))
 
 
 def chart_series(df: DataFrame, x: str, series: list[str]) -> DataFrame:

@@ -53,7 +53,9 @@ def rarest_pieces(texts: DataFrame, text: str, phrases: DataFrame, phrase: str,
     own = _by_length({n: _pieces(F.col("_looked"), n) for n in lengths}, F.col("_n"), "array<string>")
     parts = listed.withColumn("_n", longest).select("_looked", "_n", F.explode(F.array_distinct(own)).alias("_piece"))
     sample = texts.filter(F.pmod(F.xxhash64(text), F.lit(COUNTED)) == 0)
-    seen = sample.select(F.explode(_all_pieces(F.col(text), lengths)).alias("_piece"))
+    # a phrase that is shorter than the next length is its only piece, so there is nothing to choose
+    open_to_choice = [n for n, longer in zip(lengths, [*lengths[1:], None], strict=True) if longer is None or longer > n + 1]
+    seen = sample.select(F.explode(_all_pieces(F.col(text), open_to_choice)).alias("_piece"))
     counts = seen.groupBy("_piece").agg(F.count("*").alias("_count"))
     by_count = F.struct(F.coalesce("_count", F.lit(0)), F.col("_piece"))
     chosen = parts.join(counts, "_piece", "left").groupBy("_looked", "_n").agg(F.min_by("_piece", by_count).alias("_piece"))

@@ -22,10 +22,17 @@ def find_files(spark: SparkSession, root: str, glob: str = "*", ignore: list[str
     inside = F.regexp_replace("path", _SCHEME, "/")
     relative = F.expr(f"substring(_full, {len(base) + 1})")
     found = files.select(inside.alias("_full"), F.col("length").alias("size")).select(relative.alias("path"), "size")
+    return listed_files(found, glob, ignore)
+
+
+def listed_files(listing: DataFrame, glob: str = "*", ignore: list[str] = ()) -> DataFrame:
+    """``path, dir, size`` of the entries of a listing (``path, size``) that fit ``glob`` at any depth.
+
+    For corpora that keep their texts in a table with a path column.
+    """
     deep = glob if glob.startswith("**/") else f"**/{glob}"
-    return found.filter(path_test(F.col("path"), deep, ignore)).select(
-        "path", F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("/")).alias("dir"), "size"
-    )
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("/"))
+    return listing.filter(path_test(F.col("path"), deep, ignore)).select("path", folder.alias("dir"), "size")
 
 
 def dir_summary(files: DataFrame) -> DataFrame:

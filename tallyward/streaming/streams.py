@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -144,14 +143,13 @@ def _case_processor(idle_ms: int) -> StatefulProcessor:
             self.handle = handle
             self.state = handle.getValueState("case", "events bigint, last_us bigint")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             events, last_us = self.state.get() if self.state.exists() else (0, None)
             first_us, newest_us = None, last_us
-            for frame in rows:
-                events += int(frame["events"].sum())
-                low, high = int(frame["first_us"].min()), int(frame["last_us"].max())
-                first_us = low if first_us is None else min(first_us, low)
-                newest_us = high if newest_us is None else max(newest_us, high)
+            for row in rows:
+                events += row.events
+                first_us = row.first_us if first_us is None else min(first_us, row.first_us)
+                newest_us = row.last_us if newest_us is None else max(newest_us, row.last_us)
             gap = None if last_us is None else first_us - last_us
             self.state.update((events, newest_us))
             for timer in list(self.handle.listTimers()):
@@ -159,7 +157,7 @@ def _case_processor(idle_ms: int) -> StatefulProcessor:
             self.handle.registerTimer(newest_us // 1000 + idle_ms)
             yield self._row(key, events, newest_us, gap, False)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             events, last_us = self.state.get()
             self.state.clear()
             yield self._row(key, events, last_us, None, True)
@@ -168,11 +166,8 @@ def _case_processor(idle_ms: int) -> StatefulProcessor:
             pass
 
         @staticmethod
-        def _row(key, events, last_us, gap, closed) -> pd.DataFrame:
-            gaps = pd.array([gap], dtype="Int64")
-            return pd.DataFrame(
-                {"case_id": [key[0]], "events": [events], "last_us": [last_us], "gap_us": gaps, "closed": [closed]}
-            )
+        def _row(key, events, last_us, gap, closed) -> Row:
+            return Row(case_id=key[0], events=events, last_us=last_us, gap_us=gap, closed=closed)
 
     return CaseState()
 
@@ -184,7 +179,7 @@ def case_state_stream(
 
     Events are first counted per case and ``pulse`` with map-side combine, so
     the stateful step receives one row per case and pulse however busy a case
-    is. A case without events for ``idle_hours`` is closed. The session must
+    is; it handles plain rows. A case without events for ``idle_hours`` is closed. The session must
     use the RocksDB state store (``STATE_STORE``).
     """
     us = F.unix_micros(F.col(layout.ts))
@@ -193,7 +188,7 @@ def case_state_stream(
         .groupBy(F.window(layout.ts, pulse), F.col(key).alias("case_id"))
         .agg(F.count("*").alias("events"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
     )
-    states = pulses.groupBy("case_id").transformWithStateInPandas(
+    states = pulses.groupBy("case_id").transformWithState(
         statefulProcessor=_case_processor(idle_hours * 3_600_000),
         outputStructType=CASE_OUTPUT,
         outputMode="append",

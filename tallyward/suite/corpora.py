@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.operators import corpus, datachecks
+from tallyward.operators import corpus, datachecks, textindex
 from tallyward.session import scratch
 from tallyward.sources import files, tables
 from tallyward.sources.tables import load
@@ -76,6 +76,51 @@ def t02(spark, folder):
     )
 
 
+def _index(spark, folder):
+    return textindex.write_index(_docs(spark, folder), "path", "text", scratch(spark, "index"), 16)
+
+
+_LITERAL = "icensed under"
+
+
+@add(
+    "t01_grep_indexed",
+    f"""with {_LINES.format(p=_LITERAL)} select path, line_number, line_content, unnest(generate_series(1, submatches)) as submatch from found""",
+)
+def t01_indexed(spark, folder):
+    return textindex.grep(_index(spark, folder), _LITERAL, None)
+
+
+@add("t01_grep_all_indexed", SUITE.oracles["t01_grep_all"])
+def t01_all_indexed(spark, folder):
+    hits = textindex.grep(
+        _index(spark, folder), _PATTERN, None, ignore_case=True, glob="**/en/*.txt", ignore=["src3/", "src1"]
+    )
+    return hits.select("path", "line_number", "submatch")
+
+
+@add(
+    "t01_grep_totals_indexed",
+    f"""with {_LINES.format(p='(?i)' + _LITERAL)} select sum(submatches)::bigint as total_matches, count(*) as lines, count(distinct path) as texts,
+              sum(submatches) > 100 as truncated from found""",
+)
+def t01_totals_indexed(spark, folder):
+    return textindex.grep_totals(_index(spark, folder), _LITERAL, ignore_case=True)
+
+
+@add(
+    "t03_find_documents",
+    """with f as (select '/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path, '/' || source || '/' || lang as dir, n_chars as size, source, lang, doc_id
+                  from documents)
+       select path, dir, size from f where regexp_matches(path, '/en/doc_[^/]*7.txt$') and source not in ('src1', 'src3')""",
+)
+def t03_documents(spark, folder):
+    """The documents as files of a folder for each source and language."""
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    listing = load(spark, folder, "documents").select(path.alias("path"), F.col("n_chars").alias("size"))
+    return files.listed_files(listing, "en/doc_*7.txt", ignore=["src3/", "src1"])
+
+
 @add("t03_find_files")
 def t03(spark, folder):
     return files.find_files(spark, folder, "*.parquet", ignore=["embeddings.parquet"])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyward.functions import textcols
-from tallyward.operators import masking, policy
+from tallyward.operators import masking, policy, policydiff
 from tallyward.plans.model import Policy
+from tallyward.session import cut
 from tallyward.sources.tables import load
 from tallyward.suite.common import POLICY, POLICY_NEXT, TABLES, Suite, view
 
@@ -257,6 +258,49 @@ def _decisions(spark, folder):
     return policy.decision_log(policy.evaluate(_log(spark, folder), POLICY), POLICY.revision)
 
 
+@add(
+    "p15_decision_fields",
+    rf"""with {_FACTS}, ranked as (select distinct query_id, p, check_name, detail from v),
+        summed as (select query_id, string_agg(check_name || ': ' || detail, '; ' order by p, detail) as failed from ranked group by 1),
+        t as (select query_id, generate_subscripts(list, 1) as i, unnest(list) as name from (
+            select query_id, regexp_extract_all(sql_text, '(?i)(?:FROM|JOIN)\s+([a-z_][a-z0-9_.]*)', 1) as list from v_query_log)),
+        firsts as (select query_id, lower(name) as name, min(i) as i from t group by 1, 2),
+        named as (select query_id, string_agg(name, ',' order by i) as tables from firsts group by 1),
+        paired as (select query_id, string_agg(a || '=' || b, ',') as joins from joins group by 1)
+        select f.query_id as decision_id, f.ts, case when has_sql then sha256(sql_text) end as sql_hash, agent_id, tool_name, sql_text as sql,
+               coalesce(tables, '') as tables, coalesce(joins, '') as joins, lim is not null as has_limit, lim::bigint as limit_value,
+               stmts::bigint as statement_count, not regexp_matches(upper(sql_text), 'INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|GRANT|REVOKE') as is_read_only,
+               failed is null as allow, coalesce(failed, '') as failed, failed is null as allowed, '{POLICY.revision}' as revision
+        from facts f left join summed using (query_id) left join named using (query_id) left join paired using (query_id)""",
+    ("v_query_log",),
+)
+def p15_fields(spark, folder):
+    """Every field of the two JSON columns, read back."""
+    log = _decisions(spark, folder)
+    read = log.withColumn("_in", F.from_json("input", policy.INPUT)).withColumn("_out", F.from_json("result", policy.RESULT))
+    parsed = F.col("_in.parsed")
+    pairs = F.transform(parsed["joins"], lambda j: F.concat_ws("=", j["left_col"], j["right_col"]))
+    failed = F.transform("_out.violations", lambda v: F.concat_ws(": ", v["check"], v["detail"]))
+    return read.select(
+        "decision_id",
+        "ts",
+        "sql_hash",
+        "_in.agent_id",
+        "_in.tool_name",
+        "_in.sql",
+        _joined(parsed["tables"]).alias("tables"),
+        _joined(pairs).alias("joins"),
+        parsed["has_limit"].alias("has_limit"),
+        parsed["limit_value"].alias("limit_value"),
+        parsed["statement_count"].cast("bigint").alias("statement_count"),
+        parsed["is_read_only"].alias("is_read_only"),
+        "_out.allow",
+        F.array_join(failed, "; ").alias("failed"),
+        "allowed",
+        "revision",
+    )
+
+
 @add("p15_decision_log")
 def p15(spark, folder):
     return _decisions(spark, folder)
@@ -322,6 +366,25 @@ def p16_examples(spark, folder):
     return policy.drift_examples(_decisions(spark, folder), POLICY_NEXT, limit=None)
 
 
+def _indexed(spark, folder):
+    """The log and its index, each written once."""
+    log = cut(_decisions(spark, folder), "decisions")
+    index = policydiff.decision_index(log).repartitionByRange("kind", "element").sortWithinPartitions("kind", "element")
+    return log, cut(index, "index")
+
+
+@add("p16_policy_drift_indexed", SUITE.oracles["p16_policy_drift"])
+def p16_indexed(spark, folder):
+    log, index = _indexed(spark, folder)
+    return policydiff.policy_drift(log, index, POLICY, POLICY_NEXT, limit=None)
+
+
+@add("p16_drift_examples_indexed", SUITE.oracles["p16_drift_examples"])
+def p16_examples_indexed(spark, folder):
+    log, index = _indexed(spark, folder)
+    return policydiff.drift_examples(log, index, POLICY, POLICY_NEXT, limit=None)
+
+
 @add(
     "p17_replay",
     f"""with {_FACTS}, {_NEXT} select query_id as decision_id, allowed, replay_allowed, allowed <> replay_allowed as changed,

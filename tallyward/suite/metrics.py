@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.operators.signals import step_durations
-from tallyward.plans import questions
+from tallyward.plans import distincts, questions
 from tallyward.plans.audits import audit_requests, resolve_refs
 from tallyward.plans.metrics import metric_query
 from tallyward.plans.model import Filter, Request, Scope
+from tallyward.session import cut
 from tallyward.sources.tables import load, loader
 from tallyward.suite.common import SALES, SEMANTICS, Suite, rounded, view, words
 
@@ -61,6 +64,26 @@ def m02(spark, folder):
     return ask(spark, folder, Request(["orders.customers"], ["orders.status"]))
 
 
+@add(
+    "m02_distinct_rollup",
+    " union all ".join(
+        f"""select '{grain}' as grain, o_orderstatus as status, date_trunc('{grain}', o_orderdate)::date as period, count(distinct o_custkey) as customers
+            from orders group by all"""
+        for grain in distincts.GRAINS
+    ),
+)
+def m02_rollup(spark, folder):
+    """One table of bitmaps per day answers every grain."""
+    days = cut(distincts.day_bitmaps(load(spark, folder, "orders"), "o_custkey", "o_orderdate", ["o_orderstatus"]), "days")
+    counts = [
+        distincts.distinct_counts(days, grain, ["o_orderstatus"], "customers").select(
+            F.lit(grain).alias("grain"), F.col("o_orderstatus").alias("status"), "period", "customers"
+        )
+        for grain in distincts.GRAINS
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @add(
     "m03_sum",
     "select l_returnflag as return_flag, l_linestatus as line_status, round(sum(l_quantity), 2) as quantity from lineitem group by 1, 2",

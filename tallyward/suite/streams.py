@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyward.functions.keys import content_key
 from tallyward.operators.eventlog import EventLayout
-from tallyward.streaming import streams
+from tallyward.session import scratch
+from tallyward.streaming import appendonce, streams
 from tallyward.suite.common import Suite
 
 SUITE = Suite()
@@ -46,6 +48,17 @@ def x02(spark, folder):
     return table.groupBy("event_type").agg(F.count("*").alias("keys"))
 
 
+@add("x02_append_once", "select event_type, count(distinct props) as keys, 'first' as source from events group by 1")
+def x02_once(spark, folder):
+    """The events come twice; the second stream is behind any watermark of the first."""
+    target = scratch(spark, "once")
+    rows = _events(spark, folder).select("event_id", "ts", "event_type", "props", content_key(F.col("event_type"), F.col("props")).alias("key"))
+    for source in ("first", "again"):
+        appendonce.append_once_stream(rows, target, source, "key", ["ts", "event_id"])
+    table = appendonce.appended(spark, target, rows.schema)
+    return table.groupBy("event_type", "source").agg(F.count("*").alias("keys"))
+
+
 @add(
     "x03_tumbling_signals",
     """with w as (select date_trunc('day', ts) as window_start, event_type, count(*) as events from events group by 1, 2)

@@ -253,13 +253,8 @@ def u11_parts(spark, folder):
 )
 def u12(spark, folder):
     orders = load(spark, folder, "orders").select("o_orderdate")
-    result = None
-    for span in ("7d", "30d", "3m", "6m", "1y"):
-        part = usage.range_filter(orders, "o_orderdate", span).agg(
-            F.lit(span).alias("span"), F.count("*").alias("orders"), F.min("o_orderdate").alias("first_at")
-        )
-        result = part if result is None else result.unionByName(part)
-    return result
+    rows = usage.range_rows(orders, "o_orderdate", ["7d", "30d", "3m", "6m", "1y"])
+    return rows.groupBy("span").agg(F.count("*").alias("orders"), F.min("o_orderdate").alias("first_at"))
 
 
 @add(

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tallyward.session import build_session  # noqa: E402
+from tallyward.session import build_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", 8)
     yield session
+    release(session)
     session.stop()
 
 
