@@ -1,4 +1,4 @@
-"""Query and SQL of the secret scan; the SQL repeats the tests with its own formulas' terms."""
+"""Query of the secret scan; its base spans are tested against plain patterns, the others on planted keys."""
 
 from __future__ import annotations
 

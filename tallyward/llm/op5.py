@@ -26,8 +26,7 @@ def mixture_sql(table: str) -> str:
     rates as (select source, case when a = 0 or w = 0 then 1.0 when size > 0 then weight / w * a / size else 0.0 end as rate
               from shares cross join (select sum(size) as a, sum(weight) as w from shares)),
     terms as (select source, k, sum(exp(-rate + case when k > 0 then k * ln(greatest(rate, 1e-300)) else 0 end - lgamma(k + 1))) over (partition by source order by k) as upto
-              from rates cross join (select unnest(range(400)) as k)
-              where k <= ceil(rate + 12 * sqrt(rate) + 24)),
+              from (select source, rate, unnest(range(ceil(rate + 12 * sqrt(rate) + 24)::bigint + 1)) as k from rates)),
     drawn as (select *, ('0x' || substr(md5('{SEED}|n|' || coalesce(doc_id::varchar, '') || '|' || coalesce(source, '')), 1, 13))::bigint / 4503599627370496.0 as u from {table}),
     counted as (select d.*, coalesce((select count(*) from terms t where t.source is not distinct from d.source and t.upto <= d.u), 0) as copies from drawn d),
     mixture as (select *, ('0x' || substr(md5('{SEED}|p|' || coalesce(doc_id::varchar, '') || '|' || coalesce(source, '') || '|' || copy), 1, 13))::bigint / 4503599627370496.0 as place
