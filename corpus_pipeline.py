@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents.
+
+Odd rows: an empty table gives an empty table in every stage; a null text counts
+as empty and null ids, languages and sources as values of their own; texts of
+any length are worked on whole; rows equal in id and text are one document to
+the stages that compare, and each is kept or dropped alike. All but the last
+stage return the columns they were given. Columns beside doc_id, text, lang,
+source and n_chars are carried along, but should not be named like the columns
+that the operators of a stage add (``n_exact, n_near, copy, copies, place``):
+those take the operator's values.
 """
 
 from __future__ import annotations
@@ -16,12 +25,12 @@ from tallyward.sources.tables import load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie outside their group's fences go."""
+    """Documents that fail the base rules or lie outside their group's fences go; so do null and empty texts."""
     return quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal to or within one word of an earlier line go, and documents of which nothing is left."""
+    """Lines equal to or within one word of an earlier line go, and documents of which nothing is left; texts empty from the start stay."""
     rows = lines.without_copies(docs)
     lost = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     kept = rows.filter(~F.coalesce(lost, F.lit(False)))
@@ -30,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared shingles, the first stays."""
+    """Of documents linked by shared shingles, the first stays; a text without words is linked with nothing and stays."""
     return jaccard.one_of_each(docs)
 
 
@@ -40,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their bucket, batch and place in it."""
+    """Pieces of documents with their bucket, batch and place in it; an empty text is a piece of one end mark."""
     return packing.packed(docs)
 
 
