@@ -1,6 +1,9 @@
 """Steps that grow no faster than their input, or than their result."""
 
-from tallyward.operators import catalog
+from pyspark.sql import functions as F
+
+from tallyward.operators import catalog, textindex
+from tallyward.session import scratch
 
 
 def test_context_pairs_are_made_once(spark, rows, monkeypatch):
@@ -29,3 +32,20 @@ def test_context_pairs_are_made_once(spark, rows, monkeypatch):
     assert got == sorted(want, key=repr)
     # no written step holds the pairs
     assert max(written) < len(got) / 4
+
+
+def test_postings_are_sorted_in_bounded_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(textindex, "TASK_CHARACTERS", 2000)
+    texts = [(f"d/{i:03}", f"text {i} of the corpus " + "abc def " * (i % 40)) for i in range(200)]
+    texts += [("d/twice", "one alpha"), ("d/twice", "one beta"), ("d/null", None), (None, "alpha")]
+    docs = spark.createDataFrame(texts, "path string, text string")
+    index = textindex.write_index(docs, "path", "text", scratch(spark, "index"), 2)
+    assert index.texts.select("block").distinct().count() == 2
+    characters = docs.agg(F.sum(F.length("text"))).first()[0]
+    files = index.postings.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).collect()
+    # no file holds much more than its share of the postings, so no task had them
+    assert max(f.n for f in files) < 3 * sum(f.n for f in files) / (characters / 2000)
+    # rows of one path count as one text, and a gram that both rows have counts once
+    assert rows(textindex.candidates(index, "beta"), "path") == [("d/twice",)]
+    assert rows(textindex.matching_lines(index, "one beta"), "path", "line_content") == [("d/twice", "one beta")]
+    assert rows(textindex.candidates(index, "one alp.* beta"), "path") == [("d/twice",)]
