@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tallyward.operators import catalog, textindex
+from tallyward.operators import catalog, policy, textindex
+from tallyward.plans.model import Policy
 from tallyward.session import scratch
+from tallyward.suite.common import POLICY
 
 
 def test_context_pairs_are_made_once(spark, rows, monkeypatch):
@@ -49,3 +51,24 @@ def test_postings_are_sorted_in_bounded_tasks(spark, rows, monkeypatch):
     assert rows(textindex.candidates(index, "beta"), "path") == [("d/twice",)]
     assert rows(textindex.matching_lines(index, "one beta"), "path", "line_content") == [("d/twice", "one beta")]
     assert rows(textindex.candidates(index, "one alp.* beta"), "path") == [("d/twice",)]
+
+
+def test_many_personal_columns_are_looked_up(spark, rows):
+    names = [f"col_{i}" for i in range(40)] + ["Col_7", "c_name", "né", "a.b"]
+    pii = {"wide": tuple(names), "Other": ("c_name", "z")}
+    log = [
+        ("q1", "select c_name, col_7 from orders limit 1"), ("q2", "SELECT * FROM public.Other limit 1"), ("q3", "select * from other, wide limit 1"),
+        ("q4", "select a.b from t"), ("q5", "select né from t"), ("q6", "select none from t"), ("q7", ""), ("q8", None), ("q9", "select * from nowhere"), ("q10", "select xcol_7 from t"),
+    ]
+    asked = spark.createDataFrame([(q, "sales", s) for q, s in log], "query_id string, agent_id string, sql_text string")
+    judged = policy.evaluate(asked, Policy(POLICY.agents, POLICY.bundles, pii))
+    got = {r.query_id: [v["detail"][11:-11] for v in r.violations if v["check"] == "pii_check"] for r in judged.collect()}
+    order = [f"{t}.{c}" for t in sorted(pii) for c in sorted(pii[t])]
+    both = [e for e in order if e in ("Other.c_name", "wide.c_name", "wide.col_7", "wide.Col_7")]
+    assert got == {
+        "q1": both, "q2": ["Other.c_name", "Other.z"], "q3": order[:2],
+        "q4": ["wide.a.b"], "q5": ["wide.né"], "q6": [], "q7": [], "q8": [], "q9": [], "q10": [],
+    }
+    # the lists of names are literals in buckets: no row is compared with all of them
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan
