@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tallyward.operators import catalog, policy, textindex
+from tallyward.operators import catalog, policy, policydiff, textindex
 from tallyward.plans.model import Policy
-from tallyward.session import scratch
+from tallyward.session import cut, scratch
 from tallyward.suite.common import POLICY
 
 
@@ -72,3 +72,16 @@ def test_many_personal_columns_are_looked_up(spark, rows):
     # the lists of names are literals in buckets: no row is compared with all of them
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan
+
+
+def test_index_rows_are_dealt_in_bounded_shares(spark, rows, monkeypatch):
+    monkeypatch.setattr(policydiff, "FILE_DECISIONS", 20)
+    monkeypatch.setattr(policydiff, "SHARE_DECISIONS", 20)
+    asked = [(i, f"2024-01-01 00:00:{i % 60:02}", "sales", "query_data", f"select c{i} from orders limit {i}") for i in range(300)] + [(None, "2024-01-01 00:00:00", "sales", "query_data", None)]
+    log = spark.createDataFrame(asked, "query_id int, ts string, agent_id string, tool_name string, sql_text string")
+    decisions = cut(policy.decision_log(policy.evaluate(log, POLICY), "r1"))
+    index = policydiff.sorted_index(decisions)
+    assert rows(index) == rows(policydiff.decision_index(decisions))
+    counts = index.groupBy(F.spark_partition_id()).agg(F.count_if((F.col("kind") == "word") & (F.col("element") == "select"))).collect()
+    # every decision has the word; no partition holds it for a large share of them
+    assert sum(c[1] for c in counts) == 300 and max(c[1] for c in counts) < 100
