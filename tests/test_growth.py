@@ -1,8 +1,10 @@
 """Steps that grow no faster than their input, or than their result."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from tallyward.operators import catalog, policy, policydiff, textindex
+from tallyward.operators import catalog, ledger, policy, policydiff, textindex
 from tallyward.plans.model import Policy
 from tallyward.session import cut, scratch
 from tallyward.suite.common import POLICY
@@ -85,3 +87,31 @@ def test_index_rows_are_dealt_in_bounded_shares(spark, rows, monkeypatch):
     counts = index.groupBy(F.spark_partition_id()).agg(F.count_if((F.col("kind") == "word") & (F.col("element") == "select"))).collect()
     # every decision has the word; no partition holds it for a large share of them
     assert sum(c[1] for c in counts) == 300 and max(c[1] for c in counts) < 100
+
+
+def test_a_whole_audit_is_joined_in_bounded_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(ledger, "TASK_ROWS", 20)
+    outcomes = [(i, "s", "high", i, ["a"], [i % 90, i % 7, i % 7, 1000 + i]) for i in range(150)] + [(900, "s", "low", 1, None, None), (901, "s", "low", 1, [], []), (902, "s", None, 2, ["a"], [None])]
+    proposals = [(i, "low") for i in range(100)] + [(3, "high"), (None, "low")]
+    approvals = [(i % 60, "ann", i % 2 == 0) for i in range(200)] + [(None, "bob", True)]
+    actions = [(i % 40, "note", "completed" if i % 3 else None) for i in range(150)]
+    made = [
+        spark.createDataFrame(outcomes, "outcome_id int, session_id string, confidence string, created_at int, agents_involved array<string>, evidence_proposal_ids array<int>"),
+        spark.createDataFrame(proposals, "proposal_id int, risk_class string"),
+        spark.createDataFrame(approvals, "proposal_id int, approved_by string, approved boolean"),
+        spark.createDataFrame(actions, "proposal_id int, action_type string, status string"),
+    ]
+    found = ledger.audit_decisions(*made, limit=None)
+    want = Counter()
+    for o in outcomes:
+        for pid in list(dict.fromkeys(o[5])) if o[5] else [None]:
+            for p in [p for p in proposals if p[0] == pid and pid is not None] or [(None, None)]:
+                for a in [a for a in approvals if a[0] == p[0] and p[0] is not None] or [(None, None, None)]:
+                    for d in [d for d in actions if d[0] == p[0] and p[0] is not None] or [(None, None, None)]:
+                        want[(*o[:4], *p, a[1], a[2], d[1], d[2])] += 1
+    columns = ["outcome_id", "session_id", "confidence", "created_at", "proposal_id", "risk_class", "approved_by", "approved", "action_type", "action_status", "copies"]
+    assert rows(found, *columns) == sorted(((*k, n) for k, n in want.items()), key=repr)
+    # more tasks than the session's eight partitions, as the rows ask for
+    assert found.rdd.getNumPartitions() > (len(outcomes) + len(proposals) + len(approvals) + len(actions)) / 20
+    # a limit narrows the ledgers as before, with the same rows
+    assert rows(ledger.audit_decisions(*made, limit=1000), *columns) == rows(found, *columns)
