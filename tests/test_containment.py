@@ -28,6 +28,15 @@ def test_few_rows_for_each_character(spark, small):
     assert load.characters > 10_000 and load.rows < 0.2 * load.characters
 
 
+def test_few_rows_with_many_phrases(spark):
+    texts = spark.range(400).selectExpr("sha2(cast(id as string), 256) || ' name_' || id || ' ' || sha2('x' || id, 256) as text")
+    names = spark.range(300_000).selectExpr("substr(sha1(cast(id as string)), 1, 12) as name").unionByName(spark.range(500).selectExpr("'name_' || id as name"))
+    load = contains.piece_load(texts, "text", names, "name").first()
+    assert load.characters > 50_000 and load.rows < 0.2 * load.characters
+    found = contains.contains_join(texts, "text", names, "name")
+    assert found.filter("name like 'name%'").count() == sum(f"name_{i}".startswith(f"name_{j}") for i in range(400) for j in range(500))
+
+
 @pytest.mark.parametrize("block", [1, 3, 1000])
 def test_precedents_are_the_newest(spark, block, monkeypatch):
     monkeypatch.setattr(memory, "NEWEST", block)

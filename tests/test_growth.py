@@ -1,5 +1,6 @@
 """Steps that grow no faster than their input, or than their result."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -38,6 +39,28 @@ def test_context_pairs_are_made_once(spark, rows, monkeypatch):
     assert max(written) < len(got) / 4
 
 
+def test_context_pairs_take_little_room(spark, tmp_path):
+    questions = spark.range(400).selectExpr("id as question_id", "'is gear ' || id as question")
+    terms = spark.createDataFrame([("gear", None)], "name string, synonyms array<string>")
+    tables = spark.range(30_000).selectExpr("'table ' || sha1(cast(id as string)) as table_name", "'x' as description", "array('gear') as glossary_terms")
+    catalog.match_context(questions, terms, tables).write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs"))
+    assert found.distinct().count() == found.count() == 400 * 30_000
+    # columns repeat what they hold, so a pair is written in a fraction of a byte
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 400 * 30_000 / 2
+
+
+def test_pairs_meet_at_the_least_key(spark, rows, monkeypatch):
+    for name, size in (("TOGETHER", 4), ("TABLES_TOGETHER", 2), ("GROUP_QUESTIONS", 8), ("GROUP_TABLES", 6), ("TASK_PAIRS", 64)):
+        monkeypatch.setattr(catalog, name, size)
+    rng = random.Random(8)
+    sides = [[(of(i), sorted(rng.sample("abcdefg", rng.choice([1, 1, 2, 4])))) for i in range(n)] + [(None, ["b", "z"])] for of, n in ((int, 90), ("t{}".format, 70))]
+    asked = spark.createDataFrame(sides[0], "question_id int, _keys array<string>")
+    listed = spark.createDataFrame(sides[1], "table_name string, _keys array<string>")
+    got = rows(catalog._reached(asked, listed))
+    assert got == sorted(((q, t) for q, a in sides[0] for t, b in sides[1] if set(a) & set(b)), key=repr)
+
+
 def test_postings_are_sorted_in_bounded_tasks(spark, rows, monkeypatch):
     monkeypatch.setattr(textindex, "TASK_CHARACTERS", 2000)
     texts = [(f"d/{i:03}", f"text {i} of the corpus " + "abc def " * (i % 40)) for i in range(200)]
